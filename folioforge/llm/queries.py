@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioforge.llm.neardup import NearDuplicates, near_duplicates
 from folioforge.llm.vectors import similar_vectors, undirected
 from folioforge.session import table
 
@@ -15,5 +17,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return undirected(similar_vectors(table(spark, sf_dir, "document_chunks"), "id", "collection_id", "embedding", dim=96, k=10, min_similarity=0.80))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
+def _near_duplicate_chunks(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return near_duplicates(table(spark, sf_dir, "document_chunks"), "id", "chunk_text", "document_id", words=3, min_similarity=0.5, min_words=20)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of different documents whose sets of three consecutive words have a similarity of 0.5 or more."""
+    return _near_duplicate_chunks(spark, sf_dir).pairs(other_owner=True).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk with its class of equal texts, its group of similar ones and its class's number of links."""
+    return _near_duplicate_chunks(spark, sf_dir).groups()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups}
 ORACLE: dict[str, str] = {}
