@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.llm.bpe import token_count, token_ids
 from folioforge.llm.neardup import NearDuplicates, near_duplicates
+from folioforge.llm.packing import pack
+from folioforge.llm.splitting import split_oversized
 from folioforge.llm.vectors import similar_vectors, undirected
 from folioforge.session import table
 
@@ -31,5 +34,29 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicate_chunks(spark, sf_dir).groups()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups}
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every chunk that is longer than its limit."""
+    pieces = split_oversized(table(spark, sf_dir, "document_chunks"), "id", "chunk_text", "chunk_metadata")
+    return pieces.withColumnRenamed("id", "chunk_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with more characters than the limit in their metadata: those that the operator cuts."""
+    return p7_pieces(spark, sf_dir).where("piece_no = 1").select("chunk_id")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's ids by byte_bpe_50k, without special tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", token_ids(spark, docs.text).alias("ids"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's pieces, measured in tokens of byte_bpe_50k, with the container of 2,048 that each goes into."""
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", token_count(spark, docs.text).alias("n_tokens"))
+    return pack(sized, "doc_id", "n_tokens", 2048).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 ORACLE: dict[str, str] = {}
