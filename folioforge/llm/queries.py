@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from folioforge.llm.bpe import token_count, token_ids
 from folioforge.llm.neardup import NearDuplicates, near_duplicates
 from folioforge.llm.packing import pack
+from folioforge.llm.shapes import stuffed_pages
 from folioforge.llm.splitting import split_oversized
+from folioforge.llm.unify import lookalike_values
 from folioforge.llm.vectors import similar_vectors, undirected
 from folioforge.session import table
 
@@ -34,6 +36,17 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicate_chunks(spark, sf_dir).groups()
 
 
+def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk texts and file names that look like others but differ in characters, in their one form."""
+    chunks = lookalike_values(table(spark, sf_dir, "document_chunks"), "id", "chunk_text", "chunk_text")
+    return chunks.unionByName(lookalike_values(table(spark, sf_dir, "documents"), "id", "original_filename", "original_filename"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with any compatibility form, uncomposed mark, invisible character, unusual blank or foreign letter."""
+    return p6_unified(spark, sf_dir).select("field", "record_id")
+
+
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every chunk that is longer than its limit."""
     pieces = split_oversized(table(spark, sf_dir, "document_chunks"), "id", "chunk_text", "chunk_metadata")
@@ -58,5 +71,10 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sized, "doc_id", "n_tokens", 2048).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents at least half of whose characters are keywords, links, trails, tags or product lines."""
+    return stuffed_pages(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p6_unified": p6_unified, "p6_found": p6_found, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
