@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.bpe import token_count, token_ids
 from folioforge.llm.neardup import NearDuplicates, near_duplicates
 from folioforge.llm.packing import pack
+from folioforge.llm.pairs import defective_pairs
 from folioforge.llm.shapes import stuffed_pages
 from folioforge.llm.splitting import split_oversized
 from folioforge.llm.unify import lookalike_values
@@ -36,6 +37,11 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicate_chunks(spark, sf_dir).groups()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defective pair of a question and an answer, with its defect."""
+    return defective_pairs(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "results")).where("defect is not null")
+
+
 def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk texts and file names that look like others but differ in characters, in their one form."""
     chunks = lookalike_values(table(spark, sf_dir, "document_chunks"), "id", "chunk_text", "chunk_text")
@@ -76,5 +82,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p6_unified": p6_unified, "p6_found": p6_found, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_unified": p6_unified, "p6_found": p6_found, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
