@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe import token_count, token_ids
+from folioforge.llm.languages import label_languages, train_on, wrong_labels
 from folioforge.llm.neardup import NearDuplicates, near_duplicates
 from folioforge.llm.packing import pack
 from folioforge.llm.pairs import defective_pairs
@@ -42,6 +43,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defective_pairs(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "results")).where("defect is not null")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a missing or wrong language label, and chunks in another language than their document."""
+    docs = table(spark, sf_dir, "documents")
+    field = train_on(docs, "doc_id", "text")
+    return wrong_labels(docs, table(spark, sf_dir, "document_chunks"), field, p10_found(spark, sf_dir)).drop("confidence")
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language with its confidence, and its parts if it mixes languages."""
+    docs = table(spark, sf_dir, "documents")
+    return label_languages(docs, "doc_id", "text", train_on(docs, "doc_id", "text"), parts=True).withColumnRenamed("id", "doc_id")
+
+
 def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk texts and file names that look like others but differ in characters, in their one form."""
     chunks = lookalike_values(table(spark, sf_dir, "document_chunks"), "id", "chunk_text", "chunk_text")
@@ -82,5 +96,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_unified": p6_unified, "p6_found": p6_found, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_languages": p5_languages, "p6_unified": p6_unified, "p6_found": p6_found, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
