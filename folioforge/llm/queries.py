@@ -12,6 +12,7 @@ from folioforge.llm.languages import label_languages, train_on, wrong_labels
 from folioforge.llm.neardup import NearDuplicates, near_duplicates
 from folioforge.llm.packing import pack
 from folioforge.llm.pairs import defective_pairs
+from folioforge.llm.scans import page_noise, repair_pages
 from folioforge.llm.shapes import stuffed_pages
 from folioforge.llm.splitting import split_oversized
 from folioforge.llm.unify import lookalike_values
@@ -43,6 +44,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defective_pairs(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "results")).where("defect is not null")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of noise from scanning in each chunk."""
+    return page_noise(table(spark, sf_dir, "document_chunks"), "id", "document_id", "chunk_index", "chunk_text").withColumnRenamed("id", "chunk_id")
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noisy chunks as continuous, readable paragraphs."""
+    return repair_pages(table(spark, sf_dir, "document_chunks"), "id", "document_id", "chunk_index", "chunk_text").withColumnRenamed("id", "chunk_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a missing or wrong language label, and chunks in another language than their document."""
     docs = table(spark, sf_dir, "documents")
@@ -96,5 +107,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_languages": p5_languages, "p6_unified": p6_unified, "p6_found": p6_found, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p6_unified": p6_unified, "p6_found": p6_found, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
