@@ -95,7 +95,7 @@ def edge_lines(chunks: DataFrame) -> DataFrame:
     edges = F.array(*[F.struct(F.lit(side).alias("side"), no.cast("int").alias("line_no"), F.element_at("lines", no.cast("int")).alias("line")) for side, no in (("head", F.lit(1)), ("head", F.lit(2)), ("foot", n), ("foot", n - 1))])
     # Wrapped pages: apart from the last line and two at the edges, lines come near the longest.
     longest = F.array_max(F.transform("lines", lambda x: F.length(x)))
-    full = F.size(F.filter("lines", lambda x: F.length(x) * 10 >= longest * 8))
+    full = F.size(F.filter("lines", lambda x: F.length(x) * 10 >= longest * 7))
     wrapped = (longest <= 110) & (full * 4 >= (n - 3) * 3)
     return pages.where(wrapped).select("id", "document_id", "page", n.alias("n_lines"), F.explode(edges).alias("e")).select("id", "document_id", "page", "n_lines", "e.*").distinct()
 
