@@ -1 +1 @@
-
+"""Column functions: no DataFrame in, no DataFrame out."""
