@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,11 @@ FILE_KEYS = [
 ]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it appears."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def as_map(json: Column) -> Column:
     """A JSON object's values as strings (nested ones as JSON); an empty map for null and what is no object."""
     return F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))
@@ -35,7 +40,7 @@ def as_map(json: Column) -> Column:
 
 def overlay(below: Column, above: Column) -> Column:
     """Both maps' entries; where both have a key, that of ``above``."""
-    return F.map_concat(F.map_filter(below, lambda k, _: ~F.array_contains(F.map_keys(above), k)), above)
+    return _let(above, lambda a: F.map_concat(F.map_filter(below, lambda k, _: ~F.array_contains(F.map_keys(a), k)), a))
 
 
 def filled(values: Column) -> Column:
@@ -45,12 +50,11 @@ def filled(values: Column) -> Column:
 
 def map_file_keys(properties: Column) -> Column:
     """File properties by canonical key, stripped; unknown ones are left out."""
-    out: Column = F.create_map().cast("map<string,string>")
+    entries = []
     for key in dict.fromkeys(target for _, target in FILE_KEYS):
         values = [F.element_at(properties, source) for source, target in reversed(FILE_KEYS) if target == key]
-        value = strip(F.coalesce(*values))
-        out = F.when(value.isNotNull(), overlay(out, F.create_map(F.lit(key), value))).otherwise(out)
-    return out
+        entries.append(F.struct(F.lit(key).alias("key"), strip(F.coalesce(*values)).alias("value")))
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.value.isNotNull()))
 
 
 def merge(file: Column, extracted: Column, raw: Column) -> Column:
@@ -58,10 +62,10 @@ def merge(file: Column, extracted: Column, raw: Column) -> Column:
 
     Provenance is added if any entry remains; the raw properties if there are any.
     """
-    both = filled(overlay(map_file_keys(file), filled(extracted)))
     marks = F.create_map(F.lit("llm_extracted"), F.lit("true"), F.lit("extraction_method"), F.lit("llm_analysis"))
-    out = F.when(F.size(both) > 0, F.map_concat(both, marks)).otherwise(both)
-    return F.when(F.size(file) > 0, overlay(out, F.create_map(F.lit("_raw_file_metadata"), raw))).otherwise(out)
+    origin = F.when(F.size(file) > 0, F.create_map(F.lit("_raw_file_metadata"), raw)).otherwise(F.create_map().cast("map<string,string>"))
+    both = filled(overlay(map_file_keys(file), filled(extracted)))
+    return _let(both, lambda m: F.map_concat(F.when(F.size(m) > 0, F.map_concat(m, marks)).otherwise(m), origin))
 
 
 def update_manually(current: Column, update: Mapping[str, Column | str | None]) -> Column:

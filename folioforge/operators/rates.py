@@ -13,8 +13,10 @@ def window_counts(events: DataFrame, key: str, time: str, seconds: int = 60, buc
     all of a hot key. Events at the same time see each other, as with a range frame. Rows with a null key or time are
     left out.
     """
+    if not 0 < seconds <= bucket_seconds:
+        raise ValueError("a window is within one bucket and the next")
     columns = events.columns
-    at = F.unix_micros(time)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
     size = bucket_seconds * 1_000_000
     span = seconds * 1_000_000
     rows = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") / size))

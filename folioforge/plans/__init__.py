@@ -1 +1 @@
-
+"""Whole pipelines, and the queries of the driver contract."""

@@ -1 +1 @@
-
+"""Sources and sinks: files into rows of elements, tables out."""

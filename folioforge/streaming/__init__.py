@@ -1 +1 @@
-
+"""Streams of jobs."""
