@@ -108,4 +108,17 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p6_unified": p6_unified, "p6_found": p6_found, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
-ORACLE: dict[str, str] = {}
+#: Brute force in SQL, for the queries that it can express.
+ORACLE: dict[str, str] = {
+    "p1_found": """WITH c AS (SELECT DISTINCT id, collection_id, embedding::DOUBLE[] AS v FROM document_chunks WHERE len(embedding) = 96 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM c a JOIN c b ON a.collection_id = b.collection_id AND a.id <> b.id),
+r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE k <= 10 AND s >= 0.80""",
+    "p2_found": """WITH c AS (SELECT DISTINCT id, document_id, chunk_text FROM document_chunks), w AS (SELECT id, document_id, regexp_extract_all(lower(chunk_text), '[\\p{L}\\p{Nd}\\p{Nl}\\p{No}]+') AS w FROM c),
+s AS (SELECT DISTINCT id, document_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.id < b.id AND a.document_id <> b.document_id GROUP BY 1, 2)
+SELECT p.a AS chunk_id_a, p.b AS chunk_id_b FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE m >= 0.5 * (x.n + y.n - m)""",
+    "p7_found": """WITH c AS (SELECT DISTINCT id, chunk_text, CASE WHEN json_valid(chunk_metadata) THEN chunk_metadata::JSON END AS m FROM document_chunks),
+l AS (SELECT id, chunk_text, coalesce(TRY_CAST(json_extract_string(m, '$.chunk_size') AS DOUBLE), TRY_CAST(json_extract_string(m, '$.splitter.chunk_size') AS DOUBLE), 500) AS size FROM c)
+SELECT DISTINCT id AS chunk_id FROM l WHERE length(chunk_text) > size""",
+}
