@@ -106,17 +106,18 @@ _MARGIN = rf"^\s*{_NUMBER}\s{{2,}}(?=\S)|(?<=\S)\s{{2,}}{_NUMBER}\s*$"
 def running_headers(edges: DataFrame) -> DataFrame:
     """``id, line_no`` of edge lines that recur on other pages of their document, however they were read.
 
-    A line recurs if its whole skeleton, or two of the three thirds of it, stand on the same side of several pages,
-    which are at least a fifth of those of the document.
+    A line recurs if its whole skeleton, or two of its beginning, middle and end, stand on the same side of several
+    pages, which are at least a fifth of those of the document.
     """
     text = F.regexp_replace("line", _MARGIN, "")
     lines = edges.withColumn("s", skeleton(text)).where((F.length("s") >= 5) & ~F.col("line").rlike(r"[-.,;:\x{AC}\x{AD}]\s*$") & ~F.col("line").rlike(rf"(?i)^\W*{_WORD_FOR_PAGE}?\W*{_NUMBER}{_OF}\W*$"))
     third = F.greatest(F.lit(3), F.ceil(F.length("s") / 3)).cast("int")
-    keys = F.array(F.struct(F.lit(0).alias("k"), F.col("s").alias("v")), *[F.struct(F.lit(k + 1).alias("k"), F.substring(F.col("s"), F.lit(k) * third + 1, third).alias("v")) for k in range(3)])
-    parts = lines.select("id", "document_id", "side", "line_no", F.explode(keys).alias("p")).select("id", "document_id", "side", "line_no", "p.k", "p.v").where((F.length("v") >= 3))
+    start, middle, end = F.substring("s", F.lit(1), third), F.substring("s", third + 1, third), F.substring("s", -third, third)
+    keys = F.array(F.concat(F.lit("="), F.col("s")), F.concat(F.lit("1"), start, F.lit(" "), middle), F.concat(F.lit("2"), start, F.lit(" "), end), F.concat(F.lit("3"), middle, F.lit(" "), end))
+    parts = lines.select("id", "document_id", "side", "line_no", F.explode(F.when(F.length("s") >= 9, keys).otherwise(F.slice(keys, 1, 1))).alias("key"))
     pages = edges.groupBy("document_id").agg(F.count_distinct("id").alias("n_pages"))
-    recurring = parts.groupBy("document_id", "side", "k", "v").agg(F.count_distinct("id").alias("n")).where("n >= 2").join(pages, "document_id").where("n * 5 >= n_pages").select("document_id", "side", "k", "v")
-    return parts.join(recurring, ["document_id", "side", "k", "v"]).groupBy("id", "line_no").agg(F.max((F.col("k") == 0).cast("int")).alias("whole"), F.count_distinct(F.when(F.col("k") > 0, F.col("k"))).alias("thirds")).where("whole = 1 or thirds >= 2").select("id", "line_no")
+    recurring = parts.groupBy("document_id", "side", "key").agg(F.count_distinct("id").alias("n")).where("n >= 2").join(pages, "document_id").where("n * 5 >= n_pages").select("document_id", "side", "key")
+    return parts.join(recurring, ["document_id", "side", "key"], "left_semi").select("id", "line_no").distinct()
 
 
 def _value(number: Column) -> Column:

@@ -155,7 +155,9 @@ def segment_shapes(texts: pa.Array) -> dict[str, np.ndarray]:
     kind[listed_run & (trails >= 1)] = 3
     kind[listed_run & (counts_in_brackets * 4 >= words)] = 2
     kind[listed_run & (hashes_ >= 2) & (hashes_ * 4 >= words)] = 2
-    kind[(links >= 1) & ~bracketed & (leaders == 0) & (functions * 4 < words) & ~sentence] = 1
+    # The letter of a link's tags is no function word.
+    tags = tally(_find(points, "<a ")) + tally(_find(points, "</a>"))
+    kind[(links >= 1) & ~bracketed & (leaders == 0) & (np.maximum(functions - tags, 0) * 4 < words) & ~sentence] = 1
     size = np.minimum(np.log2(per_word).astype(np.int64), 7)
     share = lambda x: np.minimum(3, (4 * x) // per_word)
     shape = ((((kind * 8 + size) * 4 + share(capitals)) * 4 + share(numbers)) * 4 + share(separators)) * 4 + np.minimum(3, links)

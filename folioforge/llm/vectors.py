@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from folioforge.session import materialize
 
-#: Standard deviations of the similarity's error under 4-bit codes that a threshold is lowered by.
-CODE_MARGIN = 0.06
+#: How much a threshold is lowered for 4-bit codes: five standard deviations of a similarity's error.
+CODE_MARGIN = 0.08
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -64,8 +64,13 @@ def curve_keys(unit: np.ndarray, curves: int, dims: int, bits: int, seed: int) -
 
 
 def pack_codes(unit: np.ndarray) -> np.ndarray:
-    """4-bit codes, two a byte, on a grid over 2.8 standard deviations of a uniform direction."""
+    """4-bit codes, two a byte, on a grid over 2.8 standard deviations of a uniform direction.
+
+    A fixed rotation comes first, so that vectors with few large coordinates spread over all of them.
+    """
     rows, width = unit.shape
+    turn, _ = np.linalg.qr(np.random.default_rng(width).standard_normal((width, width)))
+    unit = unit @ turn.astype(np.float32)
     step = 2.8 / np.sqrt(width) / 7
     q = (np.clip(np.rint(unit / step), -7, 7) + 8).astype(np.uint8)
     if width % 2:
@@ -74,7 +79,7 @@ def pack_codes(unit: np.ndarray) -> np.ndarray:
 
 
 def unpack_codes(packed: np.ndarray) -> np.ndarray:
-    """Approximate unit vectors from codes."""
+    """Approximate unit vectors from codes, rotated."""
     out = np.empty((len(packed), packed.shape[1] * 2), np.float32)
     out[:, ::2] = (packed >> 4).astype(np.float32) - 8
     out[:, 1::2] = (packed & 15).astype(np.float32) - 8
