@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import WHITE_SPACE, strip
+from folioforge.functions.text import WHITE_SPACE
+
+_PIECE = f"[^{WHITE_SPACE[1:]}+"
 
 
 def pieces(text: Column) -> Column:
     """Pieces between white space; an empty array for blank texts."""
-    bare = strip(text)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, rf"{WHITE_SPACE}+"))
+    return F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
 
 
 def count(text: Column) -> Column:
-    """Number of pieces, 0 for null."""
-    return F.coalesce(F.size(pieces(text)), F.lit(0)).cast("bigint")
+    """Number of pieces, 0 for null; no piece is made for it."""
+    return F.coalesce(F.regexp_count(text, F.lit(_PIECE)), F.lit(0)).cast("bigint")
 
 
 def first(text: Column, n: Column) -> Column:
     """The first n pieces with single spaces; for a negative n all but the last -n."""
-    parts = pieces(text)
-    kept = F.when(n >= 0, n).otherwise(F.greatest(F.size(parts) + n, F.lit(0)))
-    return F.array_join(F.slice(parts, F.lit(1), kept.cast("int")), " ")
+
+    def cut(parts: Column) -> Column:
+        kept = F.when(n >= 0, n).otherwise(F.greatest(F.size(parts) + n, F.lit(0)))
+        return F.array_join(F.slice(parts, F.lit(1), kept.cast("int")), " ")
+
+    # The pieces are computed once, though used twice.
+    return F.element_at(F.transform(F.array(pieces(text)), cut), 1)
