@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The characters that Python's str.strip() and \\s take for white space.
 WHITE_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters one by one.
+WHITE_CHARACTERS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Powers of 1,024 by unit.
 UNITS = {"B": 0, "KB": 1, "MB": 2, "GB": 3, "TB": 4}
 #: MIME types by extension.
@@ -29,12 +31,12 @@ OCTET_STREAM = "application/octet-stream"
 
 def strip(text: Column) -> Column:
     """Without leading and trailing white space, of all kinds."""
-    return F.regexp_replace(text, rf"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARACTERS))
 
 
 def clean_text(text: Column) -> Column:
     """Runs of white space as one space, and none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, rf"{WHITE_SPACE}+", " "), "^ | $", "")
+    return F.regexp_replace(strip(text), rf"{WHITE_SPACE}+", " ")
 
 
 def parse_file_size(text: Column) -> Column:
