@@ -128,8 +128,8 @@ _encoders: dict[Any, Encoder] = {}
 
 
 def _encoder(shared: Any) -> Encoder:
-    """One encoder a worker process and vocabulary."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    """One encoder a worker process and vocabulary; it holds the vocabulary, whose identity is its key."""
+    key = id(shared.value)
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(shared.value)

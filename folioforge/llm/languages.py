@@ -27,6 +27,8 @@ DIMENSIONS = 1 << 16
 #: Documents that the field is trained on.
 SAMPLE = 800
 CACHED_WORDS = 300_000
+#: Words that forward-backward runs over at once; a longer text is a sequence of such stretches.
+STRETCH = 20_000
 #: Words that a part in another language has at least.
 LEAST_PART = 6
 WORD = re.compile(r"[^\W\d_]+")
@@ -211,29 +213,36 @@ class Labeller:
         if len(self.index) > CACHED_WORDS:
             self.reset()
         found = [WORD.findall(t) for t in texts]
-        lengths = np.array([len(w) for w in found], np.int64)
+        words_of = np.array([len(w) for w in found], np.int64)
         at = self._lookup([w for words in found for w in words])
-        ends = np.cumsum(lengths)
+        first = np.cumsum(words_of) - words_of
+        stretches = -(-words_of // STRETCH)
+        row = np.repeat(np.arange(len(texts)), stretches)
+        begin = (np.arange(len(row)) - np.repeat(np.cumsum(stretches) - stretches, stretches)) * STRETCH
+        lengths = np.minimum(words_of[row] - begin, STRETCH)
+        starts = first[row] + begin
         share = np.zeros((len(texts), N))
-        spans: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+        best_of, sure_of = np.zeros(len(at), np.int8), np.zeros((len(at), N) if parts else (0, N), np.float32)
         order = np.argsort(-lengths, kind="stable")
-        order = order[lengths[order] > 0]
         lo = 0
         while lo < len(order):
             steps = int(lengths[order[lo]])
-            rows = order[lo : lo + max(1, 120_000 // steps)]
-            lo += len(rows)
-            n = lengths[rows]
+            some = order[lo : lo + max(1, 120_000 // steps)]
+            lo += len(some)
+            n = lengths[some]
             inside = np.arange(steps)[:, None] < n
-            source = np.where(inside, (ends[rows] - n) + np.arange(steps)[:, None], 0)
+            source = np.where(inside, starts[some] + np.arange(steps)[:, None], 0)
             words = at[source]
             p = _marginals(self.scores[words], n, self.field.transitions)
             weight = np.where(inside, self.chars[words], 0)
-            share[rows] = (p * weight[:, :, None]).sum(0)
+            np.add.at(share, row[some], (p * weight[:, :, None]).sum(0))
             if parts:
-                best = p.argmax(2)
-                for k in np.nonzero(((best != best[0]) & inside).any(0))[0]:
-                    spans[rows[k]] = self._parts(texts[rows[k]], best[: n[k], k], p[: n[k], k])
+                best_of[source[inside]], sure_of[source[inside]] = p.argmax(2)[inside], p[inside]
+        spans: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+        for i in np.nonzero(words_of)[0] if parts else ():
+            here = slice(first[i], first[i] + words_of[i])
+            if (best_of[here] != best_of[first[i]]).any():
+                spans[i] = self._parts(texts[i], best_of[here], sure_of[here])
         return share / np.maximum(share.sum(1, keepdims=True), 1e-9), spans
 
     def _parts(self, text: str, best: np.ndarray, p: np.ndarray) -> list[tuple[int, int, int, float]]:

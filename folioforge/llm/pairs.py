@@ -516,7 +516,7 @@ def answer_pairs(jobs: DataFrame, results: DataFrame) -> DataFrame:
     return asked.join(once, "job_id").select("job_id", "answer_no", "question", "answer", "finish")
 
 
-_SEGMENT_END = re.compile(r"([^\W_]+)[\"'»”’)\]]*(?:[.!?…]|\n|$)")
+_SEGMENT_END = re.compile(r"(?<![^\W_])([^\W_]++)[\"'»”’)\]]*+(?:[.!?…]|\n|$)")
 
 
 def _count_words(texts: list[str], hashes: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ DOCUMENT_FORMS = 2
 BROADCAST_ROWS = 200_000
 
 _DASH = r"(?:-|\x{AC}|\x{AD}) ?"
-_BREAK = rf"([\p{{L}}\p{{M}}]+)({_DASH})\n\s*([\p{{Ll}}\p{{M}}]+)"
+_BREAK = rf"(?<![\p{{L}}\p{{M}}])([\p{{L}}\p{{M}}]++)({_DASH})\n\s*([\p{{Ll}}\p{{M}}]++)"
 _WORDS = r"[\p{L}\p{M}\p{N}]+"
 _NUMBER = r"(?:[0-9OolISB]{0,4}[0-9][0-9OolISB]{0,4}|[ivxlcIVXLC]{1,8})"
 _WORD_FOR_PAGE = r"(?:page|pag|pág|página|pagina|seite|p|s|pg|blatt|folio|f)\.?"
@@ -54,6 +54,10 @@ def anagram_hash(word: Column) -> Column:
     return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda a, c: a + F.coalesce(fifth(c), F.lit(0).cast("bigint")))
 
 
+def _python_hash(text: str) -> int:
+    return sum((ord(c) % 2000) ** 5 for c in text)
+
+
 def word_counts(chunks: DataFrame, text_col: str) -> DataFrame:
     """``word, n`` of every word in lower case over all texts, with three characters or more and a letter."""
     words = F.explode(F.regexp_extract_all(F.lower(_joined(F.col(text_col))), F.lit(_WORDS), F.lit(0)))
@@ -62,12 +66,12 @@ def word_counts(chunks: DataFrame, text_col: str) -> DataFrame:
 
 def corrections(counts: DataFrame) -> DataFrame:
     """``word, correct``: rare words that one confusion makes of a frequent one; the most frequent, if several fit."""
-    spark = counts.sparkSession
-    table = spark.createDataFrame([(a, b) for a, b in CONFUSIONS], "printed string, read string")
-    table = F.broadcast(table.withColumn("difference", anagram_hash(F.col("read")) - anagram_hash(F.col("printed"))))
+    table = F.array(*[F.struct(F.lit(a).alias("printed"), F.lit(b).alias("read"), F.lit(_python_hash(b) - _python_hash(a)).alias("difference")) for a, b in CONFUSIONS])
     hashed = counts.where(F.length("word") <= 40).withColumn("hash", anagram_hash(F.col("word")))
     frequent = hashed.where(F.col("n") >= FREQUENT).select(F.col("word").alias("correct"), F.col("n").alias("m"), F.col("hash").alias("h"))
-    rare = hashed.crossJoin(table).where(F.expr("instr(word, read) > 0")).select("word", "n", "printed", "read", (F.col("hash") - F.col("difference")).alias("h"))
+    # Every word with the differences of the confusions that it can hold.
+    held = hashed.select("word", "n", "hash", F.explode(F.filter(table, lambda c: F.contains(F.col("word"), c.read))).alias("c"))
+    rare = held.select("word", "n", "c.printed", "c.read", (F.col("hash") - F.col("c.difference")).alias("h"))
     at = F.sequence(F.lit(1), F.length("correct"))
     made = F.exists(at, lambda p: F.concat(F.substring("correct", F.lit(1), p - 1), F.col("read"), F.substring(F.col("correct"), p + F.length("printed"), F.lit(100))) == F.col("word"))
     fits = rare.join(frequent, "h").where((F.col("m") >= F.col("n") * RATIO) & made)
@@ -161,7 +165,7 @@ def divided_words(chunks: DataFrame, counts: DataFrame) -> DataFrame:
     breaks = chunks.where(has).select("id", F.explode(F.regexp_extract_all("text", F.lit(_BREAK), F.lit(0))).alias("b")).distinct()
     breaks = breaks.select("id", *[F.regexp_extract("b", _BREAK, k + 1).alias(c) for k, c in enumerate(("left", "dash", "right"))])
     # The corpus's hyphenated words within lines; the end of a line within one isn't counted as evidence.
-    compounds = chunks.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+-[\p{L}\p{M}]+"), F.lit(0))).alias("compound")).groupBy("compound").agg(F.count("*").alias("n_compound"))
+    compounds = chunks.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{M}])[\p{L}\p{M}]++-[\p{L}\p{M}]++"), F.lit(0))).alias("compound")).groupBy("compound").agg(F.count("*").alias("n_compound"))
     parts = materialize(breaks.select(F.lower(F.concat_ws("-", "left", "right")).alias("compound"), F.lower(F.concat("left", "right")).alias("word")).distinct(), "breaks")
     known = parts.join(compounds, "compound", "left").join(counts, "word", "left").select("compound", (F.col("n_compound") > F.coalesce("n", F.lit(0))).alias("hyphenated"))
     joined = breaks.withColumn("compound", F.lower(F.concat_ws("-", "left", "right"))).join(broadcast_if_small(materialize(known, "hyphens"), BROADCAST_ROWS), "compound", "left")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -19,13 +20,13 @@ DEFAULT_LIMIT = 500
 DEFAULT_OVERLAP = 100
 
 _HASH = re.compile(r"^(#{1,6})[ \t]+\S", re.M)
-_UNDERLINED = re.compile(r"^[^\n]*\S[^\n]*\n(={3,}|-{3,})[ \t]*$", re.M)
+_UNDERLINED = re.compile(r"^(?=[^\n]*\S)[^\n]++\n(={3,}|-{3,})[ \t]*$", re.M)
 _NUMBERED = re.compile(r"(?:\A|(?<=\n))(\d{1,3}(?:\.\d{1,3}){0,5})\.?[ \t]+[^\W\d_][^\n]{0,100}(?<![.!?;:,\n])(?=\n|\Z)")
 _TAG_HEADING = re.compile(r"<h([1-6])\b", re.I)
 _BLOCK = re.compile(r"\n[ \t\r]*\n\s*|(?=<(?:p|div|section|article|ul|ol|table|blockquote|pre)\b)", re.I)
 _ITEM = re.compile(r"^([ \t]*)(?:[-*+•–]|\d{1,3}[.)]|[a-z][.)])[ \t]+\S|^([ \t]*)<(?:li|tr)\b", re.M | re.I)
 _LINE = re.compile(r"\r\n|\n|\r")
-_SENTENCE = re.compile(r"[.!?…]+[\"'»”’)\]]*\s+(?=[\"'«“‘(\[¿¡]*[^\W\d_a-z])|[。！？]+\s*")
+_SENTENCE = re.compile(r"(?<![.!?…])[.!?…]++[\"'»”’)\]]*\s+(?=[\"'«“‘(\[¿¡]*[^\W\d_a-z])|[。！？]+\s*")
 _CLAUSE = re.compile(r"[;:,][\"'»”]*\s+|\s[–—-]\s")
 _WORD = re.compile(r"\s+")
 #: Abbreviations that don't end a sentence.
@@ -63,7 +64,7 @@ def _levels(text: str) -> list[Callable[[str, int, int], list[int]]]:
     levels: list[Callable[[str, int, int], list[int]]] = []
 
     def fixed(at: list[int]):
-        return lambda _, start, end: [x for x in at if start < x < end]
+        return lambda _, start, end: at[bisect_right(at, start) : bisect_left(at, end)]
 
     headings = _headings(text)
     for depth in sorted({d for _, d in headings}):
