@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.vectors import cosine, l2_distance, literal
+from folioforge.session import materialize
 
-#: Query vectors that go to the executors at once.
+#: Query vectors that the driver holds, and that go to the executors, at once.
 QUERY_BLOCK = 4096
 
 
@@ -52,35 +55,48 @@ def _nearest(queries: np.ndarray, query_ids: list, k: int, kind: pa.DataType):
     return run
 
 
-def batched_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 5, same: str | None = None) -> DataFrame:
-    """``query_id, id, distance, rank``: the k nearest rows of each query.
-
-    ``queries`` has the columns of ``rows``. The stated queries go to the executors in blocks of QUERY_BLOCK, each of
-    which meets the rows in one narrow pass that keeps k (and a few) a batch; only those are shuffled and ranked. With
-    ``same`` only rows that share that column's value are neighbours.
-    """
-    columns = [F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")]
-    keep = queries.select(*columns, *([same] if same else [])).where(F.col("v").isNotNull()).orderBy("id").collect()
+def _block_hits(source: DataFrame, block: list, k: int, same: str | None, kind: str) -> DataFrame:
+    """Candidates of one block of queries: a narrow pass over the rows, or one for each value of ``same``."""
     groups: dict[object, list] = {}
-    for r in keep:
+    for r in block:
         groups.setdefault((r[same] if same else None, len(r.v)), []).append(r)
-    source = rows.select(*columns, *([same] if same else [])).where(F.col("v").isNotNull())
-    kind = source.schema["id"].dataType.simpleString()
-    arrow = pa.int64() if kind == "bigint" else pa.string()
     found = None
-    for (value, _), block in groups.items():
-        for lo in range(0, len(block), QUERY_BLOCK):
-            part = block[lo : lo + QUERY_BLOCK]
-            run = _nearest(np.array([r.v for r in part]), [r.id for r in part], k, arrow)
-            scoped = source.where(F.col(same) == value) if same else source
-            hits = scoped.select("id", "v").mapInArrow(run, f"query_id {kind}, id {kind}, distance double")
-            found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, distance double, rank int")
+    for (value, _), part in groups.items():
+        run = _nearest(np.array([r.v for r in part]), [r.id for r in part], k, pa.int64() if kind == "bigint" else pa.string())
+        scoped = source.where(F.col(same) == value) if same else source
+        hits = scoped.select("id", "v").mapInArrow(run, f"query_id {kind}, id {kind}, distance double")
+        found = hits if found is None else found.unionByName(hits)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def batched_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 5, same: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id, id, distance, rank``: the k nearest rows of each query, ties by id.
+
+    ``queries`` has the columns of ``rows``. The stated queries pass through the driver in blocks, of which it holds
+    one at a time; each block meets the rows in a narrow pass that keeps k (and a few) a batch, and only those are
+    shuffled and ranked. Several blocks are written down one after the other. With ``same`` only rows that share that
+    column's value are neighbours. Rows and queries with a null vector, or of another length, don't meet.
+    """
+    spark = rows.sparkSession
+    columns = [F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")]
+    wanted = queries.select(*columns, *([same] if same else [])).where(F.col("v").isNotNull()).orderBy("id").toLocalIterator()
+    source = rows.select(*columns, *([same] if same else [])).where(F.col("v").isNotNull())
+    kind = source.schema["id"].dataType.simpleString()
+    first = list(islice(wanted, block))
+    if not first:
+        return spark.createDataFrame([], f"query_id {kind}, id {kind}, distance double, rank int")
+    hits = _block_hits(source, first, k, same, kind)
+    following = list(islice(wanted, block))
+    if not following:
+        return hits
+    done = [materialize(hits, "hits")]
+    while following:
+        done.append(materialize(_block_hits(source, following, k, same, kind), "hits"))
+        following = list(islice(wanted, block))
+    return reduce(DataFrame.unionByName, done)
+
+
 def rerank(hits: DataFrame, query: Sequence[float], vector_col: str, id_col: str, k: int = 5) -> DataFrame:
     """Second stage: the k of some candidates with the highest cosine similarity, as ``score``."""
     return hits.withColumn("score", cosine(F.col(vector_col), literal(query))).orderBy(F.desc_nulls_last("score"), id_col).limit(k)

@@ -14,6 +14,7 @@ from folioforge.operators import catalog, chunking, formats, ingest, jobs, layou
 from folioforge.plans import rag
 from folioforge.session import shared_dir, table
 from folioforge.sources.html import html_text
+from folioforge.sources.sinks import is_folder
 from folioforge.streaming.jobs import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -549,7 +550,7 @@ def job_stream_available_now(spark: SparkSession, d: str) -> DataFrame:
     run = f"{shared_dir(spark)}/job-stream-{os.getpid()}-{uuid.uuid4().hex}"
     static = spark.read.parquet(f"{d}/jobs.parquet")
     # The source is a directory of Parquet files; a single file is one that the pattern singles out.
-    folder, pattern = (f"{d}/jobs.parquet", "*") if os.path.isdir(f"{d}/jobs.parquet") else (d, "jobs.parquet")
+    folder, pattern = (f"{d}/jobs.parquet", "*") if is_folder(spark, f"{d}/jobs.parquet") else (d, "jobs.parquet")
     run_available(spark, folder, static.schema, f"{run}/sink", f"{run}/checkpoint", pattern=pattern)
     return spark.read.schema("id string, handler string, status string").parquet(f"{run}/sink").select(F.col("id").alias("job_id"), "handler")
 

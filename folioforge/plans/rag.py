@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.embedding import embed
+from folioforge.functions.text import fenced_json, json_object, stem
+from folioforge.operators import metadata
 from folioforge.operators.chunking import concatenate, explode_chunks, recursive_chunks
-from folioforge.operators.models import echo_responses
+from folioforge.operators.formats import EXTENSIONS, formatter
+from folioforge.operators.models import echo, echo_responses
 from folioforge.operators.prompts import CONTEXT_SEPARATOR, compose, question_prompt
 
 #: Messages when nothing is found.
@@ -64,3 +67,43 @@ def answer(questions: DataFrame, hits: DataFrame, strategy: str, nothing: str =
         made = answered.join(sources, "query_id").select("query_id", F.to_json(F.struct(F.lit("merge").alias("strategy"), "result", "sources")).alias("data"))
     empty = F.to_json(F.struct(F.lit(nothing).alias("content")))
     return questions.select("query_id").join(made, "query_id", "left").select("query_id", F.coalesce("data", empty).alias("data"))
+
+
+def search_text(components: Mapping[str, str]) -> str:
+    """What an analysis searches by: its embedding reference, or else its question, which it must have."""
+    if not components.get("question"):
+        raise ValueError("the task has no component 'question'")
+    return components.get("embedding_reference") or components["question"]
+
+
+def analyse_hits(hits: DataFrame, components: Mapping[str, str], strategy: str, max_length: int) -> DataFrame:
+    """Prompts of an analysis over hits: one each for ``separate``, else one for each query over all of its hits."""
+    if strategy == "separate":
+        return analysis_prompts(hits, components, max_length, "chunk_text")
+    return analysis_prompts(merged_context(hits), components, max_length)
+
+
+def analyse_files(elements: DataFrame, components: Mapping[str, str], output_format: str, max_length: int, respond: Callable[[Column], Column] = echo) -> DataFrame:
+    """``path, name, output`` of whole files (path, element_index, text): prompt, answer, and its parsed content as formatted.
+
+    Files without any text are left out; ``name`` is the file's with the format's extension.
+    """
+    texts = concatenate(elements.where("text is not null"), "path", "element_index", "text", "\n")
+    answered = analysis_prompts(texts, components, max_length).withColumn("answer", respond(F.col("prompt")))
+    shaped = F.col("answer") if output_format == "json" else json_object(fenced_json(F.col("answer")))
+    name = F.concat(stem(F.col("path")), F.lit(f"_output.{EXTENSIONS[output_format]}"))
+    return answered.select("path", name.alias("name"), formatter(output_format)(shaped).alias("output"))
+
+
+def extract_metadata(chunks: DataFrame, documents: DataFrame, components: Mapping[str, str], max_length: int, respond: Callable[[Column], Column] = echo, first: int = 3) -> DataFrame:
+    """``document_id, metadata``: file properties under what a model makes of a document's first chunks.
+
+    ``documents`` has document_id and properties (a map). A document without chunks, and an answer that holds no JSON
+    object, leave the file properties.
+    """
+    start = concatenate(chunks, "document_id", "chunk_index", "chunk_text", "\n\n", first)
+    answers = analysis_prompts(start, components, max_length).select("document_id", json_object(fenced_json(respond(F.col("prompt")))).alias("answer"))
+    joined = documents.join(answers, "document_id", "left")
+    found = metadata.as_map(F.col("answer"))
+    merged = metadata.merge(F.col("properties"), found, F.to_json("properties"))
+    return joined.select("document_id", F.when(F.size(found) > 0, merged).otherwise(F.col("properties")).alias("metadata"))

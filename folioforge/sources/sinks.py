@@ -26,6 +26,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isDirectory())
+
+
 def write_texts(df: DataFrame, path: str, name_col: str, text_col: str) -> None:
     """Each text into the folder of its name, as one file: ``<path>/name=<name>/part-...``."""
     df.select(F.col(name_col).alias("name"), F.col(text_col).cast("string").alias("value")).repartition("name").write.mode("overwrite").option("lineSep", "\n").partitionBy("name").text(path)

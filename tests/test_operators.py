@@ -190,6 +190,32 @@ def test_pipelines(spark):
     assert "one\\n---\\ntwo" in whole[1] and '"sources":["f1","f2"]' in whole[1]
 
 
+def test_analyses(spark):
+    task = {"prompt": "{{ question }} {{ document_text }}", "question": "Q?"}
+    assert rag.search_text(task) == "Q?" and rag.search_text({**task, "embedding_reference": "R"}) == "R"
+    with pytest.raises(ValueError):
+        rag.search_text({"prompt": "x"})
+    hits = spark.createDataFrame([(1, 2, "two"), (1, 1, "one")], "query_id bigint, rank int, chunk_text string")
+    assert {r.prompt for r in rag.analyse_hits(hits, task, "separate", 50).collect()} == {"Q? one", "Q? two"}
+    assert [r.prompt for r in rag.analyse_hits(hits, task, "merge", 50).collect()] == ["Q? one\n---\ntwo"]
+    elements = spark.createDataFrame([("/in/a.txt", 1, "B"), ("/in/a.txt", 0, "A"), ("/in/b.txt", None, None)], "path string, element_index bigint, text string")
+    respond = lambda prompt: F.concat(F.lit('```json\n{"response": ["'), F.replace(prompt, F.lit("\n"), F.lit("/")), F.lit('"]}\n```'))
+    assert [tuple(r) for r in rag.analyse_files(elements, task, "list", 50, respond).collect()] == [("/in/a.txt", "a_output.md", "- Q? A/B")]
+    chunks = spark.createDataFrame([("d", i, f"c{i}") for i in range(5)], "document_id string, chunk_index bigint, chunk_text string")
+    docs = spark.createDataFrame([("d", {"Title": "File"}), ("e", {"Title": "Other"})], "document_id string, properties map<string,string>")
+    found = lambda prompt: F.concat(F.lit('{"title": "'), F.regexp_replace(prompt, r"\s+", " "), F.lit('", "doi": ""}'))
+    got = {r.document_id: r.metadata for r in rag.extract_metadata(chunks, docs, task, 50, found).collect()}
+    assert got["d"]["title"] == "Q? c0 c1 c2" and got["d"]["llm_extracted"] == "true" and got["e"] == {"Title": "Other"}
+    plain = {r.document_id: r.metadata for r in rag.extract_metadata(chunks, docs, task, 50).collect()}
+    assert plain["d"] == {"Title": "File"}
+
+
+def test_search_in_blocks(spark):
+    rows = spark.range(40).select("id", F.array(F.col("id").cast("float"), F.lit(0.0).cast("float")).alias("v"))
+    whole = {tuple(r) for r in search.batched_top_k(rows, rows.where("id % 4 = 0"), "id", "v", 3).collect()}
+    assert whole == {tuple(r) for r in search.batched_top_k(rows, rows.where("id % 4 = 0"), "id", "v", 3, block=3).collect()} and len(whole) == 30
+
+
 def test_embedder(spark):
     df = spark.createDataFrame([("b b a",), (None,), ("",)], "t string")
     got = [r.e for r in df.select(embed(F.col("t")).alias("e")).collect()]
