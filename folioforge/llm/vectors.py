@@ -233,7 +233,7 @@ def _cosines(dim: int):
 
 
 def similar_vectors(
-    df: DataFrame, id_col: str, group_col: str, vector_col: str, dim: int, k: int = 10, min_similarity: float | None = None, curves: int = 8, window: int = 1024, dims: int = 12, bits: int = 3, seed: int = 7, rows_per_partition: int = 65536
+    df: DataFrame, id_col: str, group_col: str, vector_col: str, dim: int, k: int = 10, min_similarity: float | None = None, curves: int = 16, window: int = 512, dims: int = 12, bits: int = 3, seed: int = 7, rows_per_partition: int = 65536
 ) -> DataFrame:
     """Directed neighbour lists: ``id, neighbour_id, similarity, rank`` (rank 1 to k, ties by neighbour_id).
 
