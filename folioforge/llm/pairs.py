@@ -225,12 +225,14 @@ def pair_features(question: str, answer: str, finish: str | None, lexicon: Lexic
     d[1], d[2], d[3] = terminal, form == 2, form == 1
     d[4] = bullets
     begun = float(lexicon.begun[at])
-    cut_word = 0.0 if numeric else begun / (begun + 3 * seen + 3)
+    # A word that is hardly seen whole, but often at the beginning of longer ones, and ends nothing elsewhere.
+    open_end = max(0.0, 1 - ending * 5)
+    cut_word = 0.0 if numeric else begun / (begun + 20 * seen + 3) * open_end
     d[5] = open_text and not bullets
     loose = open_text and bullets
     d[6] = loose * (seen >= 20) * max(0.0, 1 - ending * 20)  # a common word that hardly ever ends anything
     d[7] = loose * cut_word
-    d[8] = loose * (last in _FUNCTION)
+    d[8] = loose * (last in _FUNCTION) * open_end
     d[9] = loose * (cut_word > 0.5)
     d[10], d[11] = finish == "length", finish == "stop"
     d[12] = end in ",:;-–(" and bool(end)
