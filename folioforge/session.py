@@ -46,16 +46,27 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+_written: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all steps that were written so far; no DataFrame that reads one may be used any more."""
+    while _written:
+        _drop(spark, _written.pop())
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     Cuts the lineage like checkpoint(), survives the loss of executors, and is columnar and compressed. What is
-    written stays until the application ends.
+    written stays until release() or the end of the application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioforge-{os.getpid()}-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path.rsplit("/", 1)[0])
+    if not _written:
+        atexit.register(release, spark)
+    _written.add(path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
