@@ -9,10 +9,10 @@ def test_steps(spark):
     assert step.dtypes == df.dtypes and {r.x for r in step.collect()} == set(range(10))
     assert materialize(step.where("x > 99")).count() == 0
     folder = shared_dir(spark).removeprefix("file://")
-    assert any(n.startswith("folioforge-") for n in os.listdir(folder))
+    assert any(n.startswith(f"folioforge-{os.getpid()}-") for n in os.listdir(folder))
     assert "broadcast" in broadcast_if_small(step, 10)._jdf.queryExecution().toString() and broadcast_if_small(step, 9) is step
     release(spark)
-    assert not any(n.startswith("folioforge-") for n in os.listdir(folder))
+    assert not any(n.startswith(f"folioforge-{os.getpid()}-") for n in os.listdir(folder))
 
 
 def test_checkpoint_folder_of_the_session():
