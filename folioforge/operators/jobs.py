@@ -23,7 +23,7 @@ def status_rank(status: Column) -> Column:
 def latest(jobs: DataFrame) -> DataFrame:
     """One row a job: the version with the farthest status, of several the latest update; replays vanish.
 
-    Aggregates before the shuffle.
+    Aggregates before the shuffle. All columns of a version stay together, so select those that are needed first.
     """
     columns = [c for c in jobs.columns if c != "id"]
     order = F.struct(status_rank(F.col("status")), F.coalesce("updated_at", "created_at"), "status")
@@ -57,7 +57,7 @@ def dispatch(jobs: DataFrame) -> DataFrame:
 
 def result_gate(wanted: DataFrame, jobs: DataFrame, results: DataFrame) -> DataFrame:
     """``job_id, http_status, data`` for each wanted job: 404 without a job, 400 until it is completed, 404 without a result."""
-    now = latest(jobs).select(F.col("id").alias("job_id"), "status")
+    now = latest(jobs.select("id", "status", "created_at", "updated_at")).select(F.col("id").alias("job_id"), "status")
     data = results.groupBy("job_id").agg(F.max("data").alias("data"))
     joined = wanted.select("job_id").distinct().join(now, "job_id", "left").join(data, "job_id", "left")
     status = F.when(F.col("status").isNull(), 404).when(F.col("status") != "completed", 400).when(F.col("data").isNull(), 404).otherwise(200)

@@ -491,17 +491,17 @@ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r DES
 
 @query(_LATEST + " SELECT id AS job_id, job_type, status FROM l")
 def job_status_latest(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.latest(table(spark, d, "jobs")).select(F.col("id").alias("job_id"), "job_type", "status")
+    return jobs.latest(_versions(spark, d)).select(F.col("id").alias("job_id"), "job_type", "status")
 
 
 @query(_LATEST + " SELECT id AS job_id, job_type FROM l WHERE status = 'pending'")
 def pending_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.pending(table(spark, d, "jobs")).select(F.col("id").alias("job_id"), "job_type")
+    return jobs.pending(_versions(spark, d)).select(F.col("id").alias("job_id"), "job_type")
 
 
 @query(_LATEST + " SELECT CASE WHEN job_type IN ('batch', 'indexing', 'query', 'analysis', 'document_query', 'document_analysis', 'batch_indexing') THEN job_type ELSE 'single_file' END AS handler, status, count(*) AS n FROM l GROUP BY 1, 2")
 def job_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.dispatch(jobs.latest(table(spark, d, "jobs"))).groupBy("handler", "status").agg(F.count("*").alias("n"))
+    return jobs.dispatch(jobs.latest(_versions(spark, d))).groupBy("handler", "status").agg(F.count("*").alias("n"))
 
 
 @query(_LATEST + """, w AS (SELECT id AS job_id FROM l UNION SELECT job_id FROM results UNION SELECT 'no such job'), r AS (SELECT DISTINCT job_id FROM results)
@@ -512,6 +512,11 @@ def result_gate(spark: SparkSession, d: str) -> DataFrame:
     return jobs.result_gate(wanted, all_jobs, results).select("job_id", _int("http_status").alias("http_status"))
 
 
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs without their data."""
+    return table(spark, d, "jobs").select("id", "job_type", "status", "created_at", "updated_at")
+
+
 def _store(spark: SparkSession, d: str) -> jobs.Store:
     return jobs.Store(*[table(spark, d, t) for t in ("collections", "documents", "document_chunks", "jobs", "results")])
 
