@@ -32,8 +32,12 @@ def search_scope(chunks: DataFrame, documents: DataFrame, query: Sequence[float]
     return top_k(scoped.join(documents, document_col), query, vector_col, id_col, k)
 
 
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - q) ** 2).sum(-1))
+
+
 def _nearest(queries: np.ndarray, query_ids: list, k: int, kind: pa.DataType):
-    """Each batch's k nearest rows to each query of a block, ties by id."""
+    """Each batch's k nearest rows to each query of a block, ties by id; a few more where that saves sorting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = (queries**2).sum(1)
@@ -44,13 +48,34 @@ def _nearest(queries: np.ndarray, query_ids: list, k: int, kind: pa.DataType):
             if not n:
                 continue
             x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            near = norms[:, None] - 2 * queries @ x.T + (x**2).sum(1)
+            squares = (x**2).sum(1)
+            near = norms[:, None] - 2 * queries @ x.T + squares
+            near[np.isnan(near)] = np.inf
             # A few more than k by the fast form; exact distances and ties decide below.
             m = min(n, k + 16)
-            at = np.argpartition(near, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(np.arange(n), (len(queries), n))
-            exact = np.sqrt(((x[at] - queries[:, None, :]) ** 2).sum(2))
-            q = np.repeat(np.arange(len(queries)), at.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([query_ids[i] for i in q], kind), b.column("id").take(pa.array(at.ravel())), pa.array(exact.ravel())], ["query_id", "id", "distance"])
+            at = np.argpartition(near, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (len(queries), 1))
+            q = np.repeat(np.arange(len(queries)), m)
+            exact = _distances(x[at], queries[:, None, :]).ravel()
+            at = at.ravel()
+            if m < n:
+                # What rounding of the fast form can't tell from the k-th distance may go on beyond the m rows.
+                fast = np.sort(near[q, at].reshape(-1, m), axis=1)
+                margin = 8 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (norms + np.max(squares, where=np.isfinite(squares), initial=0))
+                margin[~np.isfinite(margin)] = np.inf
+                limit = fast[:, k - 1] + margin
+                tied = np.flatnonzero(fast[:, -1] <= limit)
+                if len(tied):
+                    by_id = np.empty(n, np.int64)
+                    by_id[pa.compute.sort_indices(b.column("id"), null_placement="at_start").to_numpy()] = np.arange(n)
+                    keep = ~np.isin(q, tied)
+                    parts = [(q[keep], at[keep], exact[keep])]
+                    for i in tied:
+                        rows = np.flatnonzero(near[i] <= limit[i])
+                        d = _distances(x[rows], queries[i])
+                        first = np.lexsort((by_id[rows], d))[:k]
+                        parts.append((np.full(len(first), i), rows[first], d[first]))
+                    q, at, exact = map(np.concatenate, zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([query_ids[i] for i in q], kind), b.column("id").take(pa.array(at)), pa.array(exact)], ["query_id", "id", "distance"])
 
     return run
 

@@ -216,6 +216,23 @@ def test_search_in_blocks(spark):
     assert whole == {tuple(r) for r in search.batched_top_k(rows, rows.where("id % 4 = 0"), "id", "v", 3, block=3).collect()} and len(whole) == 30
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_search_among_copies(spark, kind):
+    """More equal nearest vectors in a batch than are kept a few of: the least ids come out, whatever the batches."""
+    far = [(i, [float(i), 1.0 / 3]) for i in range(1000, 1100)]
+    copies = [(i, [0.1, 1.0 / 3]) for i in range(100, 500)]
+    rows = spark.createDataFrame(copies[::-1] + far + [(1, [0.1, 0.5]), (2, [float("nan"), 0.0])], "id bigint, v array<double>").withColumn("id", F.col("id").cast(kind))
+    queries = rows.where("id in (150, 1, 1050)")
+    want = {150: [100, 101, 102], 1: [1, 100, 101], 1050: [1050, 1049, 1051]}
+    for parts in (1, 3):
+        got = {}
+        for r in search.batched_top_k(rows.repartition(parts), queries, "id", "v", 3).orderBy("query_id", "rank").collect():
+            got.setdefault(int(r.query_id), []).append(int(r.id))
+        assert got == want
+    few = search.batched_top_k(rows.where("id = 2 or id >= 1000").coalesce(1), rows.where("id = 1"), "id", "v", 101).orderBy(F.desc("rank")).first()
+    assert int(few.id) == 2 and few.rank == 101  # what has no distance comes last
+
+
 def test_embedder(spark):
     df = spark.createDataFrame([("b b a",), (None,), ("",)], "t string")
     got = [r.e for r in df.select(embed(F.col("t")).alias("e")).collect()]
