@@ -587,20 +587,43 @@ def _cell(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '[\",\\r\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
 
 
+def _text_csv(spark: SparkSession, d: str, heading: str, text: Column) -> DataFrame:
+    row = F.array(*[F.coalesce(c, F.lit("")) for c in (F.col("original_filename"), F.get_json_object("document_metadata", "$.title"), text)])
+    data = F.to_json(F.struct(F.array(F.lit("file"), F.lit("title"), F.lit(heading)).alias("headers"), F.array(row).alias("rows")))
+    return _docs(spark, d).select("doc_id", formats.as_csv(data).alias("csv"))
+
+
+def _text_essay(spark: SparkSession, d: str, text: Column) -> DataFrame:
+    section = F.struct(F.col("source").alias("heading"), T.strip(text).alias("content"))
+    data = F.to_json(F.struct(F.get_json_object("document_metadata", "$.title").alias("title"), F.array(section).alias("sections")))
+    return _docs(spark, d).select("doc_id", formats.as_essay(data).alias("essay"))
+
+
 @query(f"""WITH m AS (SELECT doc_id, coalesce(original_filename, '') AS a, coalesce(json_extract_string({_META}, '$.title'), '') AS b, coalesce(left(text, 60), '') AS c FROM documents)
 SELECT doc_id, 'file,title,"start, of text"' || chr(13) || chr(10) || {_cell('a')} || ',' || {_cell('b')} || ',' || {_cell('c')} || chr(13) || chr(10) AS csv FROM m""")
 def format_table_csv(spark: SparkSession, d: str) -> DataFrame:
-    row = F.array(*[F.coalesce(c, F.lit("")) for c in (F.col("original_filename"), F.get_json_object("document_metadata", "$.title"), F.substring("text", 1, 60))])
-    data = F.to_json(F.struct(F.array(F.lit("file"), F.lit("title"), F.lit("start, of text")).alias("headers"), F.array(row).alias("rows")))
-    return _docs(spark, d).select("doc_id", formats.as_csv(data).alias("csv"))
+    return _text_csv(spark, d, "start, of text", F.substring("text", 1, 60))
 
 
 @query(f"""WITH m AS (SELECT doc_id, json_extract_string({_META}, '$.title') AS t, source, regexp_replace(left(text, 80), '^{_WS}+|{_WS}+$', '', 'g') AS x FROM documents)
 SELECT doc_id, regexp_replace('# ' || coalesce(t, 'Untitled Essay') || chr(10) || chr(10) || '## ' || coalesce(source, 'Introduction') || chr(10) || coalesce(x, ''), '{_WS}+$', '') AS essay FROM m""")
 def format_essay(spark: SparkSession, d: str) -> DataFrame:
-    section = F.struct(F.col("source").alias("heading"), T.strip(F.substring("text", 1, 80)).alias("content"))
-    data = F.to_json(F.struct(F.get_json_object("document_metadata", "$.title").alias("title"), F.array(section).alias("sections")))
-    return _docs(spark, d).select("doc_id", formats.as_essay(data).alias("essay"))
+    return _text_essay(spark, d, F.substring("text", 1, 80))
+
+
+# The same of whole texts.
+
+
+@query(f"""WITH m AS (SELECT doc_id, coalesce(original_filename, '') AS a, coalesce(json_extract_string({_META}, '$.title'), '') AS b, coalesce(text, '') AS c FROM documents)
+SELECT doc_id, 'file,title,text' || chr(13) || chr(10) || {_cell('a')} || ',' || {_cell('b')} || ',' || {_cell('c')} || chr(13) || chr(10) AS csv FROM m""")
+def format_table_csv_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _text_csv(spark, d, "text", F.col("text"))
+
+
+@query(f"""WITH m AS (SELECT doc_id, json_extract_string({_META}, '$.title') AS t, source, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS x FROM documents)
+SELECT doc_id, regexp_replace('# ' || coalesce(t, 'Untitled Essay') || chr(10) || chr(10) || '## ' || coalesce(source, 'Introduction') || chr(10) || coalesce(x, ''), '{_WS}+$', '') AS essay FROM m""")
+def format_essay_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _text_essay(spark, d, F.col("text"))
 
 
 # Pages. A chunk is a page, its index the page's.
