@@ -136,6 +136,16 @@ def citation_best_match(spark: SparkSession, d: str) -> DataFrame:
     return best.join(named, "id", "left").select("query_id", F.col("id").alias("chunk_id"), "filename", F.round("distance", 6).alias("distance"))
 
 
+@query("WITH " + _BATCH.format(where=" ON e.vec_id <> q.query_id").replace("CROSS JOIN", "JOIN") + """
+SELECT r.query_id, r.chunk_id, d.original_filename AS filename, round(r.distance, 6) AS distance FROM r LEFT JOIN documents d ON d.doc_id = r.chunk_id WHERE r.rank = 1""")
+def citation_best_match_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same against all rows but the query itself."""
+    others = _batched(spark, d, 2).where("chunk_id <> query_id")
+    best = others.groupBy("query_id").agg(F.min_by(F.struct("chunk_id", "distance"), "rank").alias("best")).select("query_id", "best.*")
+    named = _docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("original_filename").alias("filename"))
+    return best.join(named, "chunk_id", "left").select("query_id", "chunk_id", "filename", F.round("distance", 6).alias("distance"))
+
+
 @query(_HITS + """, c AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v FROM embeddings e CROSS JOIN q WHERE e.label = 3 ORDER BY list_distance(e.embedding::DOUBLE[], q.v), e.vec_id LIMIT 20)
 SELECT c.vec_id AS chunk_id, round(list_cosine_similarity(c.v, q.v), 6) AS score FROM c CROSS JOIN q ORDER BY list_cosine_similarity(c.v, q.v) DESC, c.vec_id LIMIT 5""")
 def two_stage_rerank(spark: SparkSession, d: str) -> DataFrame:

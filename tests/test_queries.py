@@ -29,3 +29,12 @@ def test_formats_of_whole_texts(spark, tmp_path):
     assert csv == {1: 'file,title,text\r\na.txt,T,"' + text.replace('"', '""') + '"\r\n', 2: "file,title,text\r\n,,\r\n"}
     essay = {r.doc_id: r.essay for r in QUERIES["format_essay_whole"](spark, str(tmp_path)).collect()}
     assert essay == {1: f"# T\n\n## S\n{text}", 2: "# Untitled Essay\n\n## Introduction"}
+
+
+def test_best_match_among_queries(spark, tmp_path):
+    """The nearest other row may be another query's, and a query's copies may precede it."""
+    vectors = [(0, [0.0, 0.0]), (100, [0.0, 1.0]), (7, [0.0, 9.0]), (200, [5.0, 5.0]), (150, [5.0, 5.0]), (120, [5.0, 5.0])]
+    spark.createDataFrame([(i, 0, v) for i, v in vectors], "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(100, "b.pdf")], "doc_id bigint, original_filename string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.query_id, r.chunk_id, r.filename, r.distance) for r in QUERIES["citation_best_match_all"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 100, "b.pdf", 1.0), (100, 0, None, 1.0), (200, 120, None, 0.0)}
