@@ -22,8 +22,6 @@ from folioforge.llm.wordlists import function_words
 
 #: Kinds of segments; the first is what sentences, headings, reference lists, contents and figures are.
 KINDS = ("text", "link", "tag", "trail", "keywords", "products")
-#: A page's segments of one kind come in many lengths, but few kinds; so many shapes at most make up a flagged page.
-FEW_SHAPES = 40
 MIN_SHARE = 0.5
 
 _OTHER, _LOWER, _UPPER, _DIGIT, _SPACE, _BREAK, _END, _SEPARATOR, _HASH, _OPEN = range(10)
@@ -185,15 +183,14 @@ def line_shapes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(_profiles, f"id {kind}, total bigint, shapes array<struct<chars: bigint, shape: bigint>>")
 
 
-def stuffed_pages(df: DataFrame, id_col: str, text_col: str, min_share: float = MIN_SHARE, few: int = FEW_SHAPES) -> DataFrame:
-    """``id, share, kind``: pages of whose characters at least ``min_share`` are in their ``few`` largest non-sentence shapes.
+def stuffed_pages(df: DataFrame, id_col: str, text_col: str, min_share: float = MIN_SHARE) -> DataFrame:
+    """``id, share, kind``: pages of whose characters at least ``min_share`` are in non-sentence shapes.
 
-    ``kind`` is what most of those characters are. A null, empty or blank text is no such page; rows with a null id
+    ``kind`` is that of the largest shape. A null, empty or blank text is no such page; rows with a null id
     are left out; repeated rows come out once. Whole texts are read. Other columns are ignored, whatever their names;
     an empty table gives no rows.
     """
-    largest = F.slice(F.sort_array("shapes", asc=False), 1, few)
-    held = F.aggregate(largest, F.lit(0).cast("bigint"), lambda a, x: a + x.chars)
-    named = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.shiftright(F.element_at("largest", 1).shape, 11) + 1).cast("int"))
-    pages = line_shapes(df, id_col, text_col).where("total > 0 and size(shapes) > 0").withColumn("largest", largest).withColumn("share", held / F.col("total"))
+    held = F.aggregate("shapes", F.lit(0).cast("bigint"), lambda a, x: a + x.chars)
+    named = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.shiftright(F.array_max("shapes").shape, 11) + 1).cast("int"))
+    pages = line_shapes(df, id_col, text_col).where("total > 0 and size(shapes) > 0").withColumn("share", held / F.col("total"))
     return pages.where(F.col("share") >= min_share).select("id", "share", named.alias("kind")).groupBy("id").agg(F.max("share").alias("share"), F.max("kind").alias("kind"))

@@ -141,6 +141,23 @@ def test_stuffed_pages(spark):
     assert shapes.stuffed_pages(df.limit(0), "id", "t").count() == 0
 
 
+def test_stuffed_page_of_many_shapes(spark):
+    """However many shapes the links of a page have, all of them count."""
+    lines = []
+    for size in (1, 3, 6, 12, 24):
+        for capitals in range(4):
+            for numbers in range(4):
+                words = ["Offer" if i % 4 < capitals else "77" if i % 4 < capitals + numbers else "cheap" for i in range(size)]
+                lines += [f"{' '.join(words)} {'| ' * bars}http://shop" for bars in (0, size // 2, size)]
+    links = "\n".join(lines)
+    page = links + "\n" + PROSE * (len(links) * 17 // 20 // len(PROSE))
+    df = spark.createDataFrame([("many", page)], "id string, t string")
+    got = shapes.line_shapes(df, "id", "t").first()
+    chars = sorted((x.chars for x in got.shapes), reverse=True)
+    assert sum(chars[:40]) < got.total / 2 < sum(chars)
+    assert [r.share for r in shapes.stuffed_pages(df, "id", "t").collect()] == [sum(chars) / got.total]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(max_size=40), min_size=1, max_size=5))
 def test_segments_cover_texts(texts):
