@@ -25,6 +25,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return undirected(similar_vectors(table(spark, sf_dir, "document_chunks"), "id", "collection_id", "embedding", dim=96, k=10, min_similarity=0.80))
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar chunks, whatever their similarity, of every hundredth chunk (by the number that its id ends in), against all."""
+    chunks = table(spark, sf_dir, "document_chunks")
+    asked = F.conv(F.right("id", F.lit(8)), 16, 10).cast("bigint") % 100 == 0
+    lists = similar_vectors(chunks, "id", "collection_id", "embedding", dim=96, k=10, asked=asked)
+    return lists.select(F.col("id").alias("chunk_id"), "neighbour_id", F.col("rank").cast("bigint").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 def _near_duplicate_chunks(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     return near_duplicates(table(spark, sf_dir, "document_chunks"), "id", "chunk_text", "document_id", words=3, min_similarity=0.5, min_words=20)
 
@@ -107,13 +115,17 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p6_unified": p6_unified, "p6_found": p6_found, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p6_unified": p6_unified, "p6_found": p6_found, "p7_pieces": p7_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 #: Brute force in SQL, for the queries that it can express.
 ORACLE: dict[str, str] = {
     "p1_found": """WITH c AS (SELECT DISTINCT id, collection_id, embedding::DOUBLE[] AS v FROM document_chunks WHERE len(embedding) = 96 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM c a JOIN c b ON a.collection_id = b.collection_id AND a.id <> b.id),
 r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s)
 SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE k <= 10 AND s >= 0.80""",
+    "p1_neighbours": """WITH c AS (SELECT DISTINCT id, collection_id, embedding::DOUBLE[] AS v FROM document_chunks WHERE len(embedding) = 96 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM c a JOIN c b ON a.collection_id = b.collection_id AND a.id <> b.id WHERE ('0x' || right(a.id, 8))::BIGINT % 100 = 0),
+r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s)
+SELECT a AS chunk_id, b AS neighbour_id, CAST(k AS BIGINT) AS rank, round(s, 6) AS similarity FROM r WHERE k <= 10""",
     "p2_found": """WITH c AS (SELECT DISTINCT id, document_id, chunk_text FROM document_chunks), w AS (SELECT id, document_id, regexp_extract_all(lower(chunk_text), '[\\p{L}\\p{Nd}\\p{Nl}\\p{No}]+') AS w FROM c),
 s AS (SELECT DISTINCT id, document_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.id < b.id AND a.document_id <> b.document_id GROUP BY 1, 2)

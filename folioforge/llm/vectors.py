@@ -1,7 +1,7 @@
 """Most similar vectors for every vector, by shifted space-filling curves.
 
-Each curve projects the vectors onto a few random orthogonal directions, shifts and cuts them into a grid, and
-orders the cells along a Hilbert curve. Spark range-partitions all orderings at once by (curve, group, key); within
+Each curve projects the vectors onto a few random orthogonal directions within the principal axes of a bounded sample,
+shifts and cuts them into a grid, and orders the cells along a Hilbert curve. Spark range-partitions all orderings at once by (curve, group, key); within
 each ordering a window of neighbouring keys is compared by 4-bit codes; the windows of all curves merge, and the
 surviving pairs are reranked by exact cosine similarity.
 """
@@ -9,14 +9,18 @@ surviving pairs are reranked by exact cosine similarity.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.session import materialize
 
+#: Vectors that the axes of the curves are fitted on, and how many axes there are.
+SAMPLE = 4096
+AXES = 16
 #: How much a threshold is lowered for 4-bit codes: five standard deviations of a similarity's error.
 CODE_MARGIN = 0.08
 
@@ -48,17 +52,39 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(unit: np.ndarray, curves: int, dims: int, bits: int, seed: int) -> np.ndarray:
+@dataclass
+class Axes:
+    """The directions in which a bounded sample of unit vectors varies most, with the variance along each."""
+
+    mean: np.ndarray
+    directions: np.ndarray
+    variances: np.ndarray
+
+
+def principal_axes(sample: np.ndarray, axes: int) -> Axes:
+    """Axes of a sample of unit vectors (rows); those of the coordinates if there are fewer than two."""
+    width = sample.shape[1]
+    if len(sample) < 2:
+        return Axes(np.zeros(width, np.float32), np.eye(width, min(axes, width), dtype=np.float32), np.full(min(axes, width), 1 / width))
+    mean = sample.mean(0, dtype=np.float64)
+    values, vectors = np.linalg.eigh(np.cov(sample.astype(np.float64).T).reshape(width, width))
+    values, vectors = values[::-1][:axes], vectors[:, ::-1][:, :axes]
+    return Axes(mean.astype(np.float32), np.ascontiguousarray(vectors, np.float32), np.maximum(values, 1e-9))
+
+
+def curve_keys(unit: np.ndarray, axes: Axes, curves: int, dims: int, bits: int, seed: int) -> np.ndarray:
     """One key a curve for unit vectors, shape (rows, curves)."""
-    width = unit.shape[1]
+    z = (unit - axes.mean) @ axes.directions
+    width = z.shape[1]
     dims = min(dims, width)
     out = np.empty((len(unit), curves), np.int64)
     for c in range(curves):
         rng = np.random.default_rng([seed, c])
         basis, _ = np.linalg.qr(rng.standard_normal((width, dims)))
+        spread = np.sqrt((basis**2 * axes.variances[:, None]).sum(0))
         shift = rng.random(dims) * 0.5 - 0.25
         # A logistic curve near the normal distribution function spreads the projections evenly over the grid.
-        even = 1 / (1 + np.exp(-1.702 * (unit @ basis.astype(np.float32) * np.sqrt(width) + shift)))
+        even = 1 / (1 + np.exp(np.clip(-1.702 * (z @ (basis / spread).astype(np.float32) + shift), -60, 60)))
         out[:, c] = hilbert_keys(np.clip(even * (1 << bits), 0, (1 << bits) - 1), bits)
     return out
 
@@ -104,7 +130,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(rows)])
 
 
-def _sketch(dim: int, curves: int, dims: int, bits: int, seed: int):
+def _sketch(dim: int, axes: Axes, curves: int, dims: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
@@ -118,45 +144,81 @@ def _sketch(dim: int, curves: int, dims: int, bits: int, seed: int):
                 continue
             unit = (x / norm[good, None]).astype(np.float32)
             digest = np.frombuffer(b"".join(hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x + 0.0), np.uint8).reshape(-1, 16)
-            keys = curve_keys(unit, curves, dims, bits, seed)
+            keys = curve_keys(unit, axes, curves, dims, bits, seed)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("grp"), _binary(digest), _binary(pack_codes(unit)), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, curves, dtype=np.int32), keys.ravel())],
-                ["id", "grp", "vhash", "code", "keys"],
+                [b.column("id"), b.column("grp"), b.column("wanted"), _binary(digest), _binary(pack_codes(unit)), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, curves, dtype=np.int32), keys.ravel())],
+                ["id", "grp", "wanted", "vhash", "code", "keys"],
             )
 
     return run
 
 
-def _window_hits(segment: np.ndarray, rid: np.ndarray, x: np.ndarray, start: int, window: int, least: float, top: int | None):
-    """Pairs of rows i >= start with up to ``window`` rows before each, in one segment (curve and group)."""
+def _best(s: np.ndarray, axis: int, least: float, top: int) -> np.ndarray:
+    """Where s is at least ``least`` and among the ``top`` highest along an axis, ties with the last included."""
+    keep = s >= least
+    full = np.nonzero(keep.sum(axis) > top)[0]
+    if len(full):
+        part = s[full] if axis == 1 else s[:, full].T
+        last = np.partition(part, part.shape[1] - top, axis=1)[:, part.shape[1] - top, None]
+        if axis == 1:
+            keep[full] &= part >= last
+        else:
+            keep[:, full] &= (part >= last).T
+    return keep
+
+
+def _window_hits(segment: np.ndarray, rid: np.ndarray, x: np.ndarray, start: int, window: int, least: float, top: int, wanted: np.ndarray | None):
+    """Pairs of rows i >= start with up to ``window`` rows before each, in one segment (curve and group).
+
+    A row keeps its best among those before it, and so does each as seen from later ones. With ``wanted`` only pairs
+    that have such a row are made.
+    """
     out = []
+
+    def take(rows: np.ndarray, columns: np.ndarray, axes: tuple[int, ...]) -> None:
+        if not len(rows) or not len(columns):
+            return
+        s = x[rows] @ x[columns].T
+        row, col = rows[:, None], columns[None, :]
+        bad = (col >= row) | (row - col > window)
+        if segment[columns[0]] != segment[rows[-1]]:
+            bad |= segment[rows, None] != segment[None, columns]
+        s[bad] = -2
+        keep = _best(s, axes[0], least, top)
+        if len(axes) > 1:
+            keep |= _best(s, axes[1], least, top)
+        i, j = np.nonzero(keep)
+        if len(i):
+            out.append((rid[rows[i]], rid[columns[j]]))
+
+    asked = None if wanted is None else np.nonzero(wanted)[0]
     for lo in range(start, len(x), 512):
         hi = min(lo + 512, len(x))
         left = max(0, lo - window)
-        s = x[lo:hi] @ x[left:hi].T
-        row, col = np.arange(lo, hi)[:, None], np.arange(left, hi)[None, :]
-        bad = (col >= row) | (row - col > window)
-        if segment[left] != segment[hi - 1]:
-            bad |= segment[lo:hi, None] != segment[None, left:hi]
-        s[bad] = -2
-        if top is not None and s.shape[1] > top:
-            # Without a threshold a row keeps its best, and so does each row as seen from later ones.
-            keep = np.zeros(s.shape, bool)
-            np.put_along_axis(keep, np.argpartition(-s, top - 1, axis=1)[:, :top], True, axis=1)
-            if s.shape[0] > top:
-                np.put_along_axis(keep, np.argpartition(-s, top - 1, axis=0)[:top], True, axis=0)
-            else:
-                keep[:] = True
-            i, j = np.nonzero(keep & (s >= least))
+        rows, columns = np.arange(lo, hi), np.arange(left, hi)
+        if asked is None:
+            take(rows, columns, (1, 0))
         else:
-            i, j = np.nonzero(s >= least)
-        if len(i):
-            out.append((rid[lo + i], rid[left + j]))
+            inside = asked[np.searchsorted(asked, left) : np.searchsorted(asked, hi)]
+            take(inside[inside >= lo], columns, (1,))
+            take(rows, inside, (0,))
     return out
 
 
-def _windows(window: int, least: float, top: int | None):
+def _segments(curve: np.ndarray, grp: np.ndarray) -> np.ndarray:
+    change = np.ones(len(grp), bool)
+    change[1:] = (curve[1:] != curve[:-1]) | (grp[1:] != grp[:-1])
+    return np.cumsum(change)
+
+
+#: Sides of a partition: its first rows, its last ones, or all of one that is no longer than a window.
+_HEAD, _TAIL, _SHORT = range(3)
+_FOUND = "a bigint, b bigint, part bigint, side bigint, pos bigint, curve bigint, code binary, wanted boolean"
+
+
+def _windows(window: int, least: float, top: int, asked: bool):
     """Within a sorted range partition: pairs from windows, and the rows at both ends for the seams."""
+    names = [c.split()[0] for c in _FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,55 +226,68 @@ def _windows(window: int, least: float, top: int | None):
         part = TaskContext.get().partitionId()
         tail: tuple | None = None
         head: list[tuple] = []
-        headed = 0
+        rows = 0
 
         def pairs(hits):
             a, b = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
             n = len(a)
             nothing = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), nothing, nothing, nothing, pa.nulls(n, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), nothing, nothing, nothing, nothing, pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_())], names)
 
-        def edge(seam, side, seg, grp, rid, raw):
+        def edge(side, pos, seg, grp, rid, raw, wanted):
             n = len(rid)
-            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(grp), pa.array(np.full(n, seam)), pa.array(np.arange(n) + side), pa.array(seg), _binary(raw)], names)
+            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(grp), pa.array(np.full(n, part)), pa.array(np.full(n, side)), pa.array(np.arange(n) + pos), pa.array(seg), _binary(raw), pa.array(wanted)], names)
 
-        names = ["a", "b", "seam", "pos", "curve", "code"]
         for b in batches:
             if not b.num_rows:
                 continue
-            curve = b.column("curve").to_numpy().astype(np.int64)
-            grp, rid, raw = b.column("gid").to_numpy(), b.column("rid").to_numpy(), _fixed(b.column("code"))
-            if headed < window:
-                take = window - headed
-                head.append((curve[:take], grp[:take], rid[:take], raw[:take]))
-                headed += len(head[-1][0])
-            start = 0
-            if tail is not None:
-                start = len(tail[0])
-                curve, grp, rid, raw = (np.concatenate([t, n]) for t, n in zip(tail, (curve, grp, rid, raw), strict=True))
-            change = np.ones(len(rid), bool)
-            change[1:] = (curve[1:] != curve[:-1]) | (grp[1:] != grp[:-1])
-            hits = _window_hits(np.cumsum(change), rid, unpack_codes(raw), start, window, least, top)
+            new = (b.column("curve").to_numpy().astype(np.int64), b.column("gid").to_numpy(), b.column("rid").to_numpy(), _fixed(b.column("code")), b.column("wanted").to_numpy(zero_copy_only=False).astype(bool))
+            if rows < window:
+                head.append(tuple(x[: window - rows] for x in new))
+            rows += b.num_rows
+            start = 0 if tail is None else len(tail[0])
+            held = new if tail is None else tuple(np.concatenate([t, n]) for t, n in zip(tail, new, strict=True))
+            curve, grp, rid, raw, wanted = held
+            hits = _window_hits(_segments(curve, grp), rid, unpack_codes(raw), start, window, least, top, wanted if asked else None)
             if hits:
                 yield pairs(hits)
-            tail = (curve[-window:], grp[-window:], rid[-window:], raw[-window:])
+            tail = tuple(x[-window:] for x in held)
         if tail is not None:
-            yield edge(part - 1, window, *(np.concatenate(x) for x in zip(*head, strict=True)))
-            yield edge(part, 0, *tail)
+            if rows <= window:
+                yield edge(_SHORT, 0, *tail)
+            else:
+                yield edge(_HEAD, 0, *(np.concatenate(x) for x in zip(*head, strict=True)))
+                yield edge(_TAIL, rows - len(tail[0]), *tail)
 
     return run
 
 
-def _seam(window: int, least: float, top: int | None):
-    """The rows on both sides of a boundary between partitions; only pairs that cross it are new."""
+def _seams_of(sides: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """``part, side, seam`` of non-empty partitions: neighbours meet at a seam, and one shorter than a window joins its two."""
+    kinds: dict[int, set[int]] = {}
+    for part, side in sides:
+        kinds.setdefault(part, set()).add(side)
+    out, seam = [], 0
+    for k, part in enumerate(sorted(kinds)):
+        if _SHORT in kinds[part]:
+            out.append((part, _SHORT, seam))
+        else:
+            if k:
+                out.append((part, _HEAD, seam))
+                seam += 1
+            out.append((part, _TAIL, seam))
+    return out
+
+
+def _seam(window: int, least: float, top: int, asked: bool):
+    """The rows on both sides of boundaries between partitions; only pairs that cross one are new."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("pos")
-        curve, grp, rid, pos = (t.column(c).to_numpy() for c in ("curve", "b", "a", "pos"))
-        start = int((pos < window).sum())
-        change = np.ones(len(rid), bool)
-        change[1:] = (curve[1:] != curve[:-1]) | (grp[1:] != grp[:-1])
-        hits = _window_hits(np.cumsum(change), rid, unpack_codes(_fixed(t.column("code"))), start, window, least, top) if 0 < start < len(rid) else []
+        t = t.sort_by([("part", "ascending"), ("pos", "ascending")])
+        curve, grp, rid, part = (t.column(c).to_numpy() for c in ("curve", "b", "a", "part"))
+        start = int((part == part[0]).sum())
+        wanted = t.column("wanted").to_numpy(zero_copy_only=False).astype(bool) if asked else None
+        hits = _window_hits(_segments(curve, grp), rid, unpack_codes(_fixed(t.column("code"))), start, window, least, top, wanted) if start < len(rid) else []
         a = np.concatenate([h[0] for h in hits]) if hits else np.zeros(0, np.int64)
         b = np.concatenate([h[1] for h in hits]) if hits else np.zeros(0, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -232,8 +307,33 @@ def _cosines(dim: int):
     return run
 
 
+def _sampled(src: DataFrame, n_rows: int, dim: int, size: int) -> np.ndarray:
+    """Unit vectors of about ``size`` rows, or of all if there are fewer; which, is decided by a hash of their ids."""
+    if n_rows > size:
+        src = src.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(size / n_rows * (1 << 40))))
+    x = _matrix(src.select("v").toArrow().column("v"), dim).astype(np.float64)
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((x**2).sum(1, keepdims=True))
+        good = (np.isfinite(norm) & (norm > 0)).ravel()
+        return x[good] / norm[good]
+
+
 def similar_vectors(
-    df: DataFrame, id_col: str, group_col: str, vector_col: str, dim: int, k: int = 10, min_similarity: float | None = None, curves: int = 16, window: int = 512, dims: int = 12, bits: int = 3, seed: int = 7, rows_per_partition: int = 65536
+    df: DataFrame,
+    id_col: str,
+    group_col: str,
+    vector_col: str,
+    dim: int,
+    k: int = 10,
+    min_similarity: float | None = None,
+    asked: Column | None = None,
+    curves: int = 16,
+    window: int | None = None,
+    dims: int = 12,
+    bits: int = 3,
+    seed: int = 7,
+    rows_per_partition: int = 65536,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """Directed neighbour lists: ``id, neighbour_id, similarity, rank`` (rank 1 to k, ties by neighbour_id).
 
@@ -241,35 +341,51 @@ def similar_vectors(
     null, NaN or infinite numbers, is all zeros or is not of ``dim`` numbers, take no part. Repeated rows (one id,
     one vector) count once. Rows of exactly equal vectors form a class that goes through the curves as one row; its
     members come out as each other's neighbours with similarity 1 (of the numerically highest), in the order of ids.
-    With ``min_similarity`` no neighbour below it is listed, which spares the windows all but a few pairs. Other
-    columns are ignored, whatever their names; an empty table gives no rows.
+
+    With ``asked`` (a condition on ``df``) only such rows get a list, against all rows. With ``min_similarity`` no
+    neighbour below it is listed. ``window`` is 512 with a threshold, else a ninetieth of the largest group if that is
+    more: neighbours that are hardly nearer than the rest move apart along the curves as a group grows. Within a
+    window a row keeps its best 4 k (40 at least) a side and curve, so groups however dense give a bounded number of candidates a
+    row. The axes of the curves are fitted on about ``sample`` vectors. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     spark = df.sparkSession
-    src = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(vector_col).cast("array<float>").alias("v"))
+    wanted = F.coalesce(asked, F.lit(False)) if asked is not None else F.lit(True)
+    src = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(vector_col).cast("array<float>").alias("v"), wanted.alias("wanted"))
     src = src.where(F.col("id").isNotNull() & F.col("grp").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
-    sketch = src.mapInArrow(_sketch(dim, curves, dims, bits, seed), "id string, grp string, vhash binary, code binary, keys array<bigint>")
+    axes = principal_axes(_sampled(src, df.count(), dim, sample), AXES)
+    sketch = src.mapInArrow(_sketch(dim, axes, curves, dims, bits, seed), "id string, grp string, wanted boolean, vhash binary, code binary, keys array<bigint>")
     base = materialize(sketch.withColumn("rid", F.monotonically_increasing_id()), "sketch")
     # Classes of equal vectors; the first row stands for its class.
-    classes = base.groupBy("grp", "vhash").agg(F.min("rid").alias("first_rid"), F.count_distinct("id").alias("n"), F.count("*").alias("n_rows")).where("n_rows > 1")
+    classes = base.groupBy("grp", "vhash").agg(F.min("rid").alias("first_rid"), F.count_distinct("id").alias("n"), F.count("*").alias("n_rows"), F.max("wanted").alias("any_wanted")).where("n_rows > 1")
     classes = materialize(classes, "classes")
     marked = base.join(classes, ["grp", "vhash"], "left").withColumn("cid", F.coalesce("first_rid", "rid"))
-    reps = marked.where("cid = rid").select("rid", F.xxhash64("grp").alias("gid"), "code", "keys")
-    n_rows = base.count()
-    parts = max(1, min(int(n_rows * curves / rows_per_partition) + 1, 100_000))
+    reps = marked.where("cid = rid").select("rid", F.xxhash64("grp").alias("gid"), "code", "keys", F.coalesce("any_wanted", "wanted").alias("wanted"))
+    sizes = base.groupBy("grp").count().agg(F.sum("count").alias("n"), F.max("count").alias("largest")).first()
+    n_rows = sizes.n or 0
+    if window is None:
+        window = max(512, 0 if min_similarity is not None else -(-(sizes.largest or 0) // 90))
+    # Partitions stream, so that their number needn't grow without end.
+    parts = max(1, n_rows * curves // max(rows_per_partition, n_rows * curves // 20_000) + 1)
     least = -1.5 if min_similarity is None else min_similarity - CODE_MARGIN
-    top = 2 * k if min_similarity is None else None
+    shape = (window, least, max(4 * k, 40), asked is not None)
     ordered = (
-        reps.select("rid", "gid", "code", F.posexplode("keys").alias("curve", "key"))
+        reps.select("rid", "gid", "code", "wanted", F.posexplode("keys").alias("curve", "key"))
         .repartitionByRange(parts, "curve", "gid", "key", "rid")
         .sortWithinPartitions("curve", "gid", "key", "rid")
-        .select("curve", "gid", "rid", "code")
+        .select("curve", "gid", "rid", "code", "wanted")
     )
-    found = materialize(ordered.mapInArrow(_windows(window, least, top), "a bigint, b bigint, seam bigint, pos bigint, curve bigint, code binary"), "windows")
-    seams = found.where("seam >= 0").groupBy("seam").applyInArrow(_seam(window, least, top), "a bigint, b bigint")
-    pairs = materialize(found.where("seam is null").select("a", "b").unionByName(seams).distinct(), "pairs")
+    found = materialize(ordered.mapInArrow(_windows(*shape), _FOUND), "windows")
+    pairs = found.where("part is null").select("a", "b")
+    # A row for each side of a partition goes to the driver, which knows then where partitions are empty or short.
+    seams = _seams_of([(r.part, r.side) for r in found.where("part is not null").select("part", "side").distinct().collect()])
+    if len({part for part, _, _ in seams}) > 1:
+        at = spark.createDataFrame(seams, "part bigint, side bigint, seam bigint")
+        pairs = pairs.unionByName(found.where("part is not null").join(F.broadcast(at), ["part", "side"]).groupBy("seam").applyInArrow(_seam(*shape), "a bigint, b bigint"))
+    pairs = materialize(pairs.distinct(), "pairs")
     # Exact similarities: the vectors of the rows that are in any pair.
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct().join(base.select("rid", "id", "grp"), "rid")
-    vectors = materialize(src.join(wanted, ["id", "grp"]).groupBy("rid").agg(F.first("v").alias("v")), "vectors")
+    used = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct().join(base.select("rid", "id", "grp"), "rid")
+    vectors = materialize(src.select("id", "grp", "v").join(used, ["id", "grp"]).groupBy("rid").agg(F.first("v").alias("v")), "vectors")
     exact = (
         pairs.join(vectors.select(F.col("rid").alias("a"), F.col("v").alias("va")), "a")
         .join(vectors.select(F.col("rid").alias("b"), F.col("v").alias("vb")), "b")
@@ -281,10 +397,10 @@ def similar_vectors(
     both = exact.union(exact.select("b", "a", "similarity")).union(classes.where("n > 1").select("first_rid", "first_rid", F.lit(1.0)))
     # A class of more than k members fills its own lists.
     both = materialize(both.join(size, "a", "left").where((F.coalesce("n", F.lit(1)) <= k) | (F.col("a") == F.col("b"))).select("a", "b", "similarity"), "both")
-    members = marked.select("cid", "id").distinct()
+    members = marked.select("cid", "id", "wanted").distinct()
     # Of every class its first k + 1 members: with itself left out, enough for any list.
     first = members.withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("nth") <= k + 1).select(F.col("cid").alias("b"), F.col("id").alias("neighbour_id"))
-    lists = members.withColumnRenamed("cid", "a").join(both, "a").join(first, "b").where("id <> neighbour_id")
+    lists = members.where("wanted").select(F.col("cid").alias("a"), "id").join(both, "a").join(first, "b").where("id <> neighbour_id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id"))
     return lists.select("id", "neighbour_id", "similarity", rank.alias("rank")).where(F.col("rank") <= k)
 

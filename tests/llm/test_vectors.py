@@ -79,12 +79,52 @@ def test_equal_vectors(spark):
 
 
 @pytest.mark.parametrize("least", [0.8, None])
-def test_seams_lose_nothing(spark, least):
-    """Partitions and the seams between them give what one partition gives."""
+@pytest.mark.parametrize("rows", [300, 30])
+def test_seams_lose_nothing(spark, least, rows):
+    """Partitions, also ones shorter than a window, and the seams between them give what one partition gives."""
     x = clusters(800, seed=9)
     df = spark.createDataFrame([(f"{i:04}", "g", [float(a) for a in x[i]]) for i in range(len(x))], SCHEMA)
     kw = dict(k=3, min_similarity=least, curves=3, window=40)
     whole = lists(df, rows_per_partition=10**9, **kw)
-    parts = lists(df, rows_per_partition=300, **kw)
+    parts = lists(df, rows_per_partition=rows, **kw)
     # Without a threshold each block of a window keeps its best, so seams may only add.
     assert parts == whole if least else len(whole - parts) < 0.02 * len(whole)
+
+
+def test_seams_pass_empty_and_short_partitions():
+    assert V._seams_of([(0, V._HEAD), (0, V._TAIL), (3, V._SHORT), (4, V._SHORT), (9, V._HEAD), (9, V._TAIL), (10, V._HEAD), (10, V._TAIL)]) == [
+        (0, V._TAIL, 0), (3, V._SHORT, 0), (4, V._SHORT, 0), (9, V._HEAD, 0), (9, V._TAIL, 1), (10, V._HEAD, 1), (10, V._TAIL, 2)]
+    assert V._seams_of([(2, V._SHORT)]) == [(2, V._SHORT, 0)] and V._seams_of([]) == []
+
+
+def test_asked_rows_only(spark):
+    x = clusters(240, seed=2)
+    rows = [(f"{i:04}", "ab"[i % 5 == 0], [float(a) for a in x[i]]) for i in range(len(x))] + [("twin", "a", [float(a) for a in x[1]])]
+    got = lists(spark.createDataFrame(rows, SCHEMA), k=5, asked=F.col("id").endswith("0") | (F.col("id") == "twin"))
+    assert got == {(a, b) for a, b in brute(rows, 5, -2) if a.endswith("0") or a == "twin"}
+
+
+def test_dense_group_gives_few_candidates():
+    """Where all vectors are similar, candidates grow with the rows, and the nearest are among them."""
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal(96) * 3
+    for n in (600, 2400):
+        x = centre + rng.standard_normal((n, 96))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        hits = V._window_hits(np.ones(n, int), np.arange(n), x, 0, n, 0.5, 40, None)
+        i, j = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+        assert len(i) <= n * (40 + 40 * -(-n // 512)) and len(i) < n * n / 4
+        s = x @ x.T - 2 * np.eye(n, dtype=np.float32)
+        got = set(zip(i.tolist(), j.tolist()))
+        assert all((max(a, b), min(a, b)) in got for a in range(n) for b in np.argsort(-s[a])[:10].tolist())
+        asked = np.arange(n) % 50 == 0
+        some = V._window_hits(np.ones(n, int), np.arange(n), x, 0, n, 0.5, 40, asked)
+        some = {p for h in some for p in zip(h[0].tolist(), h[1].tolist())}
+        assert all((max(a, b), min(a, b)) in some for a in np.nonzero(asked)[0].tolist() for b in np.argsort(-s[a])[:10].tolist()) and all(asked[a] or asked[b] for a, b in some)
+
+
+def test_axes_follow_the_sample():
+    x = np.random.default_rng(0).standard_normal((500, 20)) * np.r_[5.0, 3.0, np.full(18, 0.1)]
+    axes = V.principal_axes(x, 4)
+    assert abs(axes.directions[0, 0]) > 0.99 and abs(axes.directions[1, 1]) > 0.99 and (np.diff(axes.variances) <= 0).all()
+    assert V.principal_axes(np.zeros((0, 3)), 16).directions.shape == (3, 3)
