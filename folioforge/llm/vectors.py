@@ -168,10 +168,10 @@ def _best(s: np.ndarray, axis: int, least: float, top: int) -> np.ndarray:
 
 
 def _window_hits(segment: np.ndarray, rid: np.ndarray, x: np.ndarray, start: int, window: int, least: float, top: int, wanted: np.ndarray | None):
-    """Pairs of rows i >= start with up to ``window`` rows before each, in one segment (curve and group).
+    """Pairs of rows i >= start with up to ``window`` rows before each, in one segment (curve and group), and their similarity.
 
     A row keeps its best among those before it, and so does each as seen from later ones. With ``wanted`` only pairs
-    that have such a row are made.
+    that have such a row are made, which comes first.
     """
     out = []
 
@@ -189,7 +189,13 @@ def _window_hits(segment: np.ndarray, rid: np.ndarray, x: np.ndarray, start: int
             keep |= _best(s, axes[1], least, top)
         i, j = np.nonzero(keep)
         if len(i):
-            out.append((rid[rows[i]], rid[columns[j]]))
+            found = (rid[rows[i]], rid[columns[j]], s[i, j])
+            if wanted is None:
+                out.append(found)
+            else:
+                a, b = wanted[rows[i]], wanted[columns[j]]
+                out.append(tuple(x[a] for x in found))
+                out.append((found[1][b], found[0][b], found[2][b]))
 
     asked = None if wanted is None else np.nonzero(wanted)[0]
     for lo in range(start, len(x), 512):
@@ -205,6 +211,14 @@ def _window_hits(segment: np.ndarray, rid: np.ndarray, x: np.ndarray, start: int
     return out
 
 
+def _ordered(hits: list[tuple], asked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hits as three arrays, the lesser row of a pair first unless the asked one is."""
+    if not hits:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    a, b, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+    return (a, b, score.astype(np.float32)) if asked else (np.minimum(a, b), np.maximum(a, b), score.astype(np.float32))
+
+
 def _segments(curve: np.ndarray, grp: np.ndarray) -> np.ndarray:
     change = np.ones(len(grp), bool)
     change[1:] = (curve[1:] != curve[:-1]) | (grp[1:] != grp[:-1])
@@ -213,7 +227,7 @@ def _segments(curve: np.ndarray, grp: np.ndarray) -> np.ndarray:
 
 #: Sides of a partition: its first rows, its last ones, or all of one that is no longer than a window.
 _HEAD, _TAIL, _SHORT = range(3)
-_FOUND = "a bigint, b bigint, part bigint, side bigint, pos bigint, curve bigint, code binary, wanted boolean"
+_FOUND = "a bigint, b bigint, score float, part bigint, side bigint, pos bigint, curve bigint, code binary, wanted boolean"
 
 
 def _windows(window: int, least: float, top: int, asked: bool):
@@ -229,14 +243,14 @@ def _windows(window: int, least: float, top: int, asked: bool):
         rows = 0
 
         def pairs(hits):
-            a, b = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+            a, b, score = _ordered(hits, asked)
             n = len(a)
             nothing = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), nothing, nothing, nothing, nothing, pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_())], names)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score), nothing, nothing, nothing, nothing, pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_())], names)
 
         def edge(side, pos, seg, grp, rid, raw, wanted):
             n = len(rid)
-            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(grp), pa.array(np.full(n, part)), pa.array(np.full(n, side)), pa.array(np.arange(n) + pos), pa.array(seg), _binary(raw), pa.array(wanted)], names)
+            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(grp), pa.nulls(n, pa.float32()), pa.array(np.full(n, part)), pa.array(np.full(n, side)), pa.array(np.arange(n) + pos), pa.array(seg), _binary(raw), pa.array(wanted)], names)
 
         for b in batches:
             if not b.num_rows:
@@ -288,9 +302,7 @@ def _seam(window: int, least: float, top: int, asked: bool):
         start = int((part == part[0]).sum())
         wanted = t.column("wanted").to_numpy(zero_copy_only=False).astype(bool) if asked else None
         hits = _window_hits(_segments(curve, grp), rid, unpack_codes(_fixed(t.column("code"))), start, window, least, top, wanted) if start < len(rid) else []
-        a = np.concatenate([h[0] for h in hits]) if hits else np.zeros(0, np.int64)
-        b = np.concatenate([h[1] for h in hits]) if hits else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table(dict(zip(("a", "b", "score"), _ordered(hits, asked), strict=True)))
 
     return run
 
@@ -376,13 +388,18 @@ def similar_vectors(
         .select("curve", "gid", "rid", "code", "wanted")
     )
     found = materialize(ordered.mapInArrow(_windows(*shape), _FOUND), "windows")
-    pairs = found.where("part is null").select("a", "b")
+    scored = found.where("part is null").select("a", "b", "score")
     # A row for each side of a partition goes to the driver, which knows then where partitions are empty or short.
     seams = _seams_of([(r.part, r.side) for r in found.where("part is not null").select("part", "side").distinct().collect()])
     if len({part for part, _, _ in seams}) > 1:
         at = spark.createDataFrame(seams, "part bigint, side bigint, seam bigint")
-        pairs = pairs.unionByName(found.where("part is not null").join(F.broadcast(at), ["part", "side"]).groupBy("seam").applyInArrow(_seam(*shape), "a bigint, b bigint"))
-    pairs = materialize(pairs.distinct(), "pairs")
+        scored = scored.unionByName(found.where("part is not null").join(F.broadcast(at), ["part", "side"]).groupBy("seam").applyInArrow(_seam(*shape), "a bigint, b bigint, score float"))
+    scored = scored.groupBy("a", "b").agg(F.max("score").alias("score"))
+    # Of what a row met on all curves its best by codes are reranked.
+    directed = scored if asked is not None else scored.union(scored.select("b", "a", "score"))
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
+    best = directed.withColumn("nth", nth).where(F.col("nth") <= max(8 * k, 80))
+    pairs = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     # Exact similarities: the vectors of the rows that are in any pair.
     used = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct().join(base.select("rid", "id", "grp"), "rid")
     vectors = materialize(src.select("id", "grp", "v").join(used, ["id", "grp"]).groupBy("rid").agg(F.first("v").alias("v")), "vectors")
