@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.sampling import hashed_sample
 from folioforge.llm.wordlists import FUNCTION_WORDS, function_words
 from folioforge.session import materialize
 
@@ -30,6 +31,7 @@ USES_GRAMS = np.array([1, 1, 1, 0])
 DIMENSIONS = 1 << 15
 #: Buckets of the hashed counts of words, which bounds what is sent to the driver and back.
 BUCKETS = 1 << 19
+STRIPE = 1 << 13
 #: Pairs that the classifier is fitted on.
 SAMPLE = 4000
 #: How many more sound pairs there are to a defective one than among made pairs; thresholds allow for it.
@@ -548,14 +550,22 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"bucket": at, "n": total[0, at].astype(np.int64), "ends": total[1, at].astype(np.int64), "begins": total[2, at].astype(np.int64)})
 
 
+def _dense(t: pa.Table) -> pa.Table:
+    """One stripe of buckets as arrays of a fixed length, whatever has been counted."""
+    stripe = t.column("stripe")[0].as_py()
+    out = np.zeros((3, STRIPE), np.float32)
+    for k, name in enumerate(("n", "ends", "begins")):
+        out[k, t.column("bucket").to_numpy() - stripe * STRIPE] = t.column(name).to_numpy()
+    return pa.table({"stripe": pa.array([stripe], pa.int64()), "counts": pa.array([out.tobytes()], pa.binary())})
+
+
 def word_endings(pairs: DataFrame) -> Lexicon:
     """Counts over all answers, hashed into BUCKETS, so that their size is bounded."""
     counts = pairs.select("answer").where("answer is not null").mapInArrow(_word_counts, "bucket bigint, n bigint, ends bigint, begins bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("begins").alias("begins"))
-    t = counts.toArrow()
+    stripes = counts.withColumn("stripe", F.floor(F.col("bucket") / STRIPE)).groupBy("stripe").applyInArrow(_dense, "stripe bigint, counts binary")
     out = np.zeros((3, BUCKETS), np.float32)
-    at = t.column("bucket").to_numpy()
-    for k, name in enumerate(("n", "ends", "begins")):
-        out[k, at] = t.column(name).to_numpy()
+    for r in stripes.collect():
+        out[:, r.stripe * STRIPE : (r.stripe + 1) * STRIPE] = np.frombuffer(r.counts, np.float32).reshape(3, STRIPE)
     return Lexicon(*out)
 
 
@@ -587,6 +597,6 @@ def defective_pairs(jobs: DataFrame, results: DataFrame, sample: int = SAMPLE, s
     spark = jobs.sparkSession
     pairs = materialize(answer_pairs(jobs, results), "pairs")
     lexicon = word_endings(pairs)
-    chosen = pairs.where("answer is not null").orderBy(F.xxhash64("job_id", "answer_no"), "job_id", "answer_no").limit(sample).select("question", "answer", "finish").collect()
+    chosen = hashed_sample(pairs.where("answer is not null"), ["job_id", "answer_no"], sample, pairs.count())
     model = fit([(r.question, r.answer, r.finish) for r in chosen], lexicon, seed)
     return pairs.mapInArrow(_score(spark.sparkContext.broadcast(model)), "job_id string, answer_no bigint, defect string")
