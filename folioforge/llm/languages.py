@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.sampling import hashed_sample
 from folioforge.llm.wordlists import FUNCTION_WORDS
 
 LANGUAGES = tuple(FUNCTION_WORDS)
@@ -27,10 +28,10 @@ DIMENSIONS = 1 << 16
 #: Documents that the field is trained on.
 SAMPLE = 800
 CACHED_WORDS = 300_000
-#: Words that forward-backward runs over at once; a longer text is a sequence of such stretches.
-STRETCH = 20_000
-#: Words that a part in another language has at least.
-LEAST_PART = 6
+#: Words that forward-backward runs over at once; a longer text is a sequence of such stretches, messages passing between them.
+STRETCH = 4_000
+#: A part of fewer words in another language must be as sure as this.
+SHORT_PART, SURE = 6, 0.9
 WORD = re.compile(r"[^\W\d_]+")
 
 _LEXICONS = [frozenset(FUNCTION_WORDS[x].split()) for x in LANGUAGES]
@@ -81,33 +82,82 @@ class Field:
     transitions: np.ndarray
 
 
-def _marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Forward-backward: probabilities of the languages for padded scores of shape (words, texts, N)."""
-    steps, texts, _ = scores.shape
-    move = np.exp(transitions).astype(np.float32)
-    e = np.exp(scores - scores.max(2, keepdims=True))
-    alive = np.arange(steps)[:, None] < lengths
-    forward = np.empty_like(e)
-    a = e[0] / e[0].sum(1, keepdims=True)
+def _emissions(scores: np.ndarray) -> np.ndarray:
+    return np.exp(scores - scores.max(2, keepdims=True))
+
+
+def _passes(e: np.ndarray, lengths: np.ndarray, move: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages at every word of padded sequences (words, texts, N), texts by falling lengths.
+
+    ``before`` is what comes to the first word, ``after`` what comes back to the last one; else all languages are alike.
+    """
+    steps, texts, _ = e.shape
+    alive = (np.arange(steps)[:, None] < lengths).sum(1)
+    forward, backward = np.full_like(e, 1 / N), np.ones_like(e)
+    a = e[0] if before is None else e[0] * before
+    a = a / a.sum(1, keepdims=True)
     forward[0] = a
     for t in range(1, steps):
-        n = int(alive[t].sum())  # texts come in the order of falling lengths
+        n = int(alive[t])
         a = (a[:n] @ move) * e[t, :n]
         a /= a.sum(1, keepdims=True)
         forward[t, :n] = a
-        forward[t, n:] = 1 / N
-    out = np.empty_like(e)
-    out[-1] = forward[-1]
-    b = np.ones((texts, N), np.float32)
+    b = np.ones((texts, N), np.float32) if after is None else after.astype(np.float32).copy()
     back = move.T.copy()
+    backward[-1] = b
     for t in range(steps - 2, -1, -1):
-        n = int(alive[t + 1].sum())
+        n = int(alive[t + 1])
         x = (b[:n] * e[t + 1, :n]) @ back
         b[:n] = x / x.sum(1, keepdims=True)
-        out[t] = forward[t] * b
+        backward[t] = b
+    return forward, backward
+
+
+def _marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """Forward-backward: probabilities of the languages for padded scores of shape (words, texts, N)."""
+    forward, backward = _passes(_emissions(scores), lengths, np.exp(transitions).astype(np.float32), before, after)
+    out = forward * backward
     return out / out.sum(2, keepdims=True)
 
 
+def _pair_marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the words' languages, and those of neighbouring words' pairs, shape (words - 1, texts, N, N).
+
+    All texts must be of full length.
+    """
+    e, move = _emissions(scores), np.exp(transitions).astype(np.float32)
+    forward, backward = _passes(e, lengths, move)
+    single = forward * backward
+    joint = forward[:-1, :, :, None] * move * (e[1:] * backward[1:])[:, :, None, :]
+    return single / single.sum(2, keepdims=True), joint / joint.sum((2, 3), keepdims=True)
+
+
+def _context(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What comes to the first word and back to the last one of each stretch of one text, in order; full ones first.
+
+    The product of a stretch's transitions and emissions is one matrix, made for all stretches at once; messages then
+    pass from stretch to stretch, so that each is labelled within the whole text.
+    """
+    e, move = _emissions(scores).astype(np.float64), np.exp(transitions).astype(np.float64)
+    count = e.shape[1]
+    through = move[None] * e[0][:, None, :]
+    through[0] = e[0, 0]
+    for t in range(1, len(e)):
+        n = int((t < lengths).sum())
+        through[:n] = (through[:n] @ move) * e[t, :n, None, :]
+        through[:n] /= through[:n].sum((1, 2), keepdims=True)
+    before, after = np.ones((count, N)), np.ones((count, N))
+    a = through[0, 0]
+    for k in range(1, count):
+        before[k] = a @ move
+        a = a @ through[k]
+        a /= a.sum()
+    for k in range(count - 2, -1, -1):
+        after[k] = through[k + 1] @ after[k + 1]
+        after[k] /= after[k].sum()
+    return before / before.sum(1, keepdims=True), after
+
+
 def _mixed_sequences(paragraphs: list[list[list[str]]], count: int, length: int, rng: np.random.Generator) -> tuple[list[list[str]], np.ndarray]:
     """Sequences of ``length`` words strung together from pieces of one to three languages, and each word's language."""
     known = [k for k in range(N) if paragraphs[k]]
@@ -160,18 +210,16 @@ def train(texts: list[str], sequences: int = 1200, length: int = 80, epochs: int
             emission = np.add.reduceat(weights[feats], stop - n, axis=0)
             scores = emission[inverse.reshape(at[rows].shape)].transpose(1, 0, 2)
             y = labels[rows].T
-            p = _marginals(scores, np.full(len(rows), length), transitions)
+            p, joint = _pair_marginals(scores, np.full(len(rows), length), transitions)
             error = -p
             error[np.arange(length)[:, None], np.arange(len(rows)), y] += 1
             per_type = np.stack([np.bincount(inverse.ravel(), error[:, :, k].T.ravel(), len(types)) for k in range(N)], 1)
             gradient = np.stack([np.bincount(feats, np.repeat(per_type[:, k], n), DIMENSIONS) for k in range(N)], 1).astype(np.float32) / len(rows)
             gradient -= 1e-4 * weights
-            # Pairs of neighbours: observed less expected (from the marginals of both, joined by the transition).
+            # Pairs of neighbours: observed less expected.
             seen = np.zeros((N, N))
             np.add.at(seen, (y[:-1].ravel(), y[1:].ravel()), 1)
-            joint = p[:-1, :, :, None] * p[1:, :, None, :] * np.exp(transitions)
-            expected = (joint / np.maximum(joint.sum((2, 3), keepdims=True), 1e-12)).sum((0, 1))
-            move = ((seen - expected) / len(rows)).astype(np.float32)
+            move = ((seen - joint.sum((0, 1))) / len(rows)).astype(np.float32)
             square_w += gradient**2
             square_t += move**2
             weights += 0.3 * gradient / np.sqrt(square_w)
@@ -223,6 +271,11 @@ class Labeller:
         starts = first[row] + begin
         share = np.zeros((len(texts), N))
         best_of, sure_of = np.zeros(len(at), np.int8), np.zeros((len(at), N) if parts else (0, N), np.float32)
+        before, after = np.ones((len(row), N), np.float32), np.ones((len(row), N), np.float32)
+        for i in np.nonzero(stretches > 1)[0]:
+            own = np.nonzero(row == i)[0]
+            at_words = starts[own] + np.minimum(np.arange(STRETCH)[:, None], lengths[own] - 1)
+            before[own], after[own] = _context(self.scores[at[at_words]], lengths[own], self.field.transitions)
         order = np.argsort(-lengths, kind="stable")
         lo = 0
         while lo < len(order):
@@ -233,7 +286,7 @@ class Labeller:
             inside = np.arange(steps)[:, None] < n
             source = np.where(inside, starts[some] + np.arange(steps)[:, None], 0)
             words = at[source]
-            p = _marginals(self.scores[words], n, self.field.transitions)
+            p = _marginals(self.scores[words], n, self.field.transitions, before[some], after[some])
             weight = np.where(inside, self.chars[words], 0)
             np.add.at(share, row[some], (p * weight[:, :, None]).sum(0))
             if parts:
@@ -250,9 +303,10 @@ class Labeller:
         runs = [(int(s), int(e), int(best[s])) for s, e in zip(cuts, np.r_[cuts[1:], len(best)], strict=True)]
         kept: list[list[int]] = []
         for s, e, k in runs:
-            if kept and (e - s < LEAST_PART or kept[-1][2] == k):
+            doubtful = lambda s, e, k: e - s < SHORT_PART and p[s:e, k].mean() < SURE
+            if kept and (kept[-1][2] == k or doubtful(s, e, k)):
                 kept[-1][1] = e
-            elif kept and kept[-1][1] - kept[-1][0] < LEAST_PART:
+            elif kept and doubtful(*kept[-1]):
                 kept[-1][1], kept[-1][2] = e, k
             else:
                 kept.append([s, e, k])
@@ -296,8 +350,8 @@ def _label(shared: Any, parts: bool):
 
 def train_on(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> Field:
     """A field trained on ``sample`` documents, the first in the order of a hash of their ids."""
-    chosen = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t") >= 200).orderBy(F.xxhash64("i"), "i").limit(sample)
-    return train([r.t for r in chosen.select("t").collect()])
+    readable = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t") >= 200)
+    return train([r.t for r in hashed_sample(readable, ["i"], sample, df.count())])
 
 
 def label_languages(df: DataFrame, id_col: str, text_col: str, field: Field, parts: bool = False) -> DataFrame:

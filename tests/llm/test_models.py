@@ -57,13 +57,31 @@ def test_marginals_equal_enumeration():
 
     rng = np.random.default_rng(0)
     scores, move = rng.standard_normal((4, 1, L.N)).astype(np.float32), rng.standard_normal((L.N, L.N)).astype(np.float32)
-    want = np.zeros((4, L.N))
+    want, pairs = np.zeros((4, L.N)), np.zeros((3, L.N, L.N))
     for path in itertools.product(range(L.N), repeat=4):
         weight = np.exp(sum(scores[t, 0, k] for t, k in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:])))
         for t, k in enumerate(path):
             want[t, k] += weight
+        for t, (a, b) in enumerate(zip(path, path[1:])):
+            pairs[t, a, b] += weight
     got = L._marginals(scores, np.array([4]), move)[:, 0]
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-4)
+    single, joint = L._pair_marginals(scores, np.array([4]), move)
+    assert np.allclose(single[:, 0], got, atol=1e-5) and np.allclose(joint[:, 0], pairs / pairs.sum((1, 2), keepdims=True), atol=1e-4)
+
+
+def test_stretches_of_a_text_know_each_other(monkeypatch):
+    """A text in stretches is labelled as in one."""
+    rng = np.random.default_rng(2)
+    scores = rng.standard_normal((23, 1, L.N)).astype(np.float32)
+    move = np.log(np.full((L.N, L.N), 0.02) + 0.9 * np.eye(L.N)).astype(np.float32)
+    whole = L._marginals(scores, np.array([23]), move)[:, 0]
+    lengths = np.array([10, 10, 3])
+    cut = np.zeros((10, 3, L.N), np.float32)
+    for k in range(3):
+        cut[: lengths[k], k] = scores[k * 10 : k * 10 + lengths[k], 0]
+    got = L._marginals(cut, lengths, move, *(x.astype(np.float32) for x in L._context(cut, lengths, move)))
+    assert np.allclose(np.concatenate([got[: lengths[k], k] for k in range(3)]), whole, atol=1e-4)
 
 
 def test_named_languages(spark):
