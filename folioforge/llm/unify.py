@@ -214,16 +214,11 @@ def _unify_points(t: _Tables, p: np.ndarray, row: np.ndarray, rows: int) -> tupl
             p, row = out, np.repeat(row, size)
             own[stop - size] = False
             # A mark that was there before, and not the letter's own, makes the difference.
+        # Marks in the order of their classes, each run by itself; equal ones keep their order.
         ccc = t.ccc[p]
-        for _ in range(64):
-            swap = np.zeros(len(p), bool)
-            swap[:-1] = (ccc[:-1] > ccc[1:]) & (ccc[1:] > 0) & (row[1:] == row[:-1])
-            swap[1:] &= ~swap[:-1]
-            at = np.nonzero(swap)[0]
-            if not len(at):
-                break
-            for x in (p, ccc, own):
-                x[at], x[at + 1] = x[at + 1].copy(), x[at].copy()
+        run = (ccc == 0) | np.concatenate([[True], row[1:] != row[:-1]])
+        order = np.argsort(np.cumsum(run) * 256 + ccc, kind="stable")
+        p, own = p[order], own[order]
         while True:
             ccc = t.ccc[p]
             start = np.maximum.accumulate(np.where(ccc == 0, np.arange(len(p)), -1))
