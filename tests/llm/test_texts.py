@@ -51,6 +51,12 @@ def test_marks_compose_like_nfc(texts):
     assert out.to_pylist() == [unicodedata.normalize("NFC", t) for t in texts]
 
 
+def test_many_marks_compose_like_nfc():
+    texts = ["a" + "\u0301" * 80 + "\u0323" * 80, "\u0323\u0301" * 70, "q" + "\u0316\u0301\u0327" * 50]
+    out, _ = unify.unify(pa.array(texts, pa.string()))
+    assert out.to_pylist() == [unicodedata.normalize("NFC", t) for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(max_size=12), min_size=1, max_size=4))
 def test_unify_is_idempotent(texts):
@@ -68,10 +74,10 @@ def test_unify_in_spark(spark):
 
 
 def check_spans(text, limit, overlap, spans):
-    o = max(0, min(overlap, limit // 2))
+    o = max(0, overlap) if overlap < limit else limit // 2
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
     for (a, b), (c, d) in zip(spans, spans[1:]):
-        assert b > c - 1 and d > b and b - c == min(o, b - a)
+        assert d > b and b - c == o
     assert all(b - a <= limit for a, b in spans)
 
 
@@ -91,6 +97,66 @@ def test_natural_boundaries():
     check_spans("x" * 1000, 100, 10, splitting.split_spans("x" * 1000, 100, 10))
 
 
+NESTED = """# Alpha
+
+Opening words of the first part.
+
+## Beta
+
+- apples are red and round
+  - gala apples keep long
+  - boskop apples are sour
+- pears are green and long
+  - conference pears are thin
+
+## Gamma
+
+<div><table><tr><td>one two three</td></tr><tr><td>four five six</td></tr></table><p>A paragraph within the div.</p></div>
+
+Closing words of the whole text.
+"""
+
+
+def shape(text, node):
+    return (text[node.start : node.end].strip().split("\n")[0][:12], [shape(text, c) for c in node.children])
+
+
+def test_structure_tree():
+    tree = splitting.parse(NESTED)
+    (alpha,) = tree.children
+    assert [NESTED[c.start :][:6] for c in alpha.children] == ["# Alph", "## Bet", "## Gam"]
+    beta, gamma = alpha.children[1:]
+    assert shape(NESTED, beta)[1] == [("## Beta", [("## Beta", []), ("- gala apple", []), ("- boskop app", [])]), ("- pears are ", [("- pears are ", []), ("- conference", [])])]
+    div = gamma.children[0]
+    assert [len(c.children) for c in div.children] == [2, 0] and NESTED[div.end :].strip() == "Closing words of the whole text."
+
+
+def test_siblings_stay_together():
+    """Pieces are subtrees: a greedy cutter from left to right would fill each piece up to the limit instead."""
+    pieces = [NESTED[a:b] for a, b in splitting.split_spans(NESTED, 170, 0)]
+    assert [p.split("\n")[0][:7] for p in pieces][:2] == ["# Alpha", "## Beta"] or pieces[0].startswith("# Alpha")
+    assert any(p.startswith("## Beta") and p.rstrip().endswith("thin") for p in pieces)
+    table = next(p for p in pieces if "<table>" in p)
+    assert "</table>" in table and "## Gamma" in "".join(pieces[: pieces.index(table) + 1])
+    items = "".join(f"- item {i} of the list\n  - below {i}\n" for i in range(20))
+    assert all(p.startswith("- item") for p in (items[a:b] for a, b in splitting.split_spans(items, 90, 0)))
+    html = "<ul>" + "".join(f"<li>entry {i}<ul><li>sub {i}</li></ul></li>" for i in range(12)) + "</ul>"
+    assert all(p.count("<li>") == p.count("</li>") for p in [html[a:b] for a, b in splitting.split_spans(html, 100, 0)])
+    sections = "".join(f"## Part {i}\n\n{'words of this part. ' * 4}\n\n" for i in range(9))
+    assert all(p.startswith("## Part") for p in (sections[a:b] for a, b in splitting.split_spans(sections, 250, 0)))
+
+
+def test_overlap_is_the_one_given():
+    text = "A sentence of some words stands here. " * 30
+    for limit, overlap in ((100, 80), (150, 100), (120, 119), (100, 0)):
+        check_spans(text, limit, overlap, splitting.split_spans(text, limit, overlap))
+
+
+def test_deep_nesting():
+    for text in ("<div>" * 3000 + "x " * 500 + "</div>" * 3000, "".join(" " * i + "- item\n" for i in range(600)), "# a\n" * 3000):
+        check_spans(text, 300, 30, splitting.split_spans(text, 300, 30))
+
+
 METADATA = {
     None: (500, 100), "": (500, 100), "{}": (500, 100), "{'chunk_size': 9, 'chunk_overlap': 9": (500, 100), '{"chunk_size": 70}': (70, 100), '{"chunk_size": "70", "chunk_overlap": "5"}': (70, 5),
     '{"splitter": {"chunk_size": "33", "chunk_overlap": 3}}': (33, 3), '{"chunk_size": null, "splitter": {"chunk_size": 12}}': (12, 100), '{"chunk_size": true}': (500, 100), '{"chunk_size": 0, "chunk_overlap": -1}': (500, 100), "[1]": (500, 100), '{"chunk_size": 9, "splitter": {"chunk_overlap": 2}}': (9, 100),
