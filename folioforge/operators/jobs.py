@@ -43,13 +43,30 @@ def pending(jobs: DataFrame, kind: str | None = None) -> DataFrame:
 
 
 def transition(jobs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Jobs with the ``status`` of ``changes`` (id, status, error) where it may follow theirs; ``error`` is kept."""
+    """Jobs with the ``status`` of ``changes`` (id, status, error) where it may follow theirs, and its ``error``; others stay as they are."""
     allowed = F.concat_ws(">", "status", "new_status").isin(*[f"{a}>{b}" for a, b in sorted(ALLOWED)])
     joined = jobs.join(changes.select("id", F.col("status").alias("new_status"), F.col("error").alias("new_error")), "id", "left")
-    out = joined.withColumn("error", F.when(allowed, F.col("new_error"))).withColumn("status", F.when(allowed, F.col("new_status")).otherwise(F.col("status")))
+    before = F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")
+    out = joined.withColumn("error", F.when(allowed, F.col("new_error")).otherwise(before)).withColumn("status", F.when(allowed, F.col("new_status")).otherwise(F.col("status")))
     return out.drop("new_status", "new_error")
 
 
+def cancel(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Jobs that haven't ended among ``ids`` (id) as failed, with the error that says so."""
+    return transition(jobs, ids.select("id", F.lit("failed").alias("status"), F.lit("cancelled").alias("error")))
+
+
+def retry(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Failed jobs among ``ids`` (id) as pending again."""
+    return transition(jobs, ids.select("id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error")))
+
+
+def progress(jobs: DataFrame, by: str = "collection_id") -> DataFrame:
+    """``by, n_jobs, n_ended, share``: how many of the current jobs have ended."""
+    ended = F.count_if(F.col("status").isin("completed", "failed"))
+    return latest(jobs).groupBy(by).agg(F.count("*").alias("n_jobs"), ended.alias("n_ended"), (ended / F.count("*")).alias("share"))
+
+
 def dispatch(jobs: DataFrame) -> DataFrame:
     """Adds ``handler``: the job's type if one handles it, else single_file."""
     return jobs.withColumn("handler", F.when(F.col("job_type").isin(*KINDS), F.col("job_type")).otherwise(FALLBACK_KIND))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import strip
+from folioforge.functions.text import WHITE_CHARACTERS, strip
 
 #: Thresholds of triage, of the share of text pages, and of a valid result.
 TEXT_THRESHOLD = 100
@@ -43,8 +43,8 @@ def valid_results(elements: DataFrame, by: list[str]) -> DataFrame:
     is_text = F.col("kind") == "text"
     length = F.sum(F.when(is_text, F.length("text"))) + F.count_if(is_text) - 1
     # Stripping the joined text only takes from its two ends.
-    lead = F.min(F.when(is_text & (strip(F.col("text")) != ""), F.struct("element_index", (F.length("text") - F.length(F.regexp_replace("text", r"^\s+", ""))).alias("n"))))
-    trail = F.max(F.when(is_text & (strip(F.col("text")) != ""), F.struct("element_index", (F.length("text") - F.length(F.regexp_replace("text", r"\s+$", ""))).alias("n"))))
+    lead = F.min(F.when(is_text & (strip(F.col("text")) != ""), F.struct("element_index", (F.length("text") - F.length(F.ltrim("text", F.lit(WHITE_CHARACTERS)))).alias("n"))))
+    trail = F.max(F.when(is_text & (strip(F.col("text")) != ""), F.struct("element_index", (F.length("text") - F.length(F.rtrim("text", F.lit(WHITE_CHARACTERS)))).alias("n"))))
     return elements.groupBy(*by).agg((F.coalesce(length - lead.n - trail.n, F.lit(0)) >= VALID_CHARACTERS).alias("valid"))
 
 

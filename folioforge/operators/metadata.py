@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import strip
+from folioforge.functions.text import split_authors, strip
 
 #: The canonical keys.
 CANONICAL = ("title", "authors", "publication_date", "publisher", "doi", "source_url", "language", "document_type", "keywords", "abstract", "harvard_citation")
@@ -16,13 +16,13 @@ FILE_KEYS = [
     ("Title", "title"),
     ("/Title", "title"),
     ("title", "title"),
-    ("Author", "authors"),
-    ("/Author", "authors"),
-    ("creator", "authors"),
     ("Subject", "abstract"),
     ("/Subject", "abstract"),
+    ("Author", "authors"),
+    ("/Author", "authors"),
+    ("authors", "authors"),
     ("publisher", "publisher"),
-    ("date", "publication_date"),
+    ("publication_date", "publication_date"),
     ("language", "language"),
     ("identifier", "doi"),
 ]
@@ -48,12 +48,23 @@ def filled(values: Column) -> Column:
     return F.map_filter(values, lambda k, v: v.isNotNull() & ~v.isin("", "[]") & k.isin(*CANONICAL))
 
 
+def _names(value: Column) -> Column:
+    """Authors as a JSON list: of a JSON list its stripped items, else the names between semicolons and commas."""
+    listed = F.from_json(value, "array<string>")
+    names = F.when(value.startswith("[") & listed.isNotNull(), F.filter(F.transform(listed, strip), lambda x: x != "")).otherwise(split_authors(value))
+    return F.to_json(names)
+
+
 def map_file_keys(properties: Column) -> Column:
-    """File properties by canonical key, stripped; unknown ones are left out."""
+    """File properties by canonical key, stripped; blank and unknown ones are left out; authors are a JSON list.
+
+    Of several properties for one key the last in FILE_KEYS that isn't blank counts.
+    """
     entries = []
     for key in dict.fromkeys(target for _, target in FILE_KEYS):
-        values = [F.element_at(properties, source) for source, target in reversed(FILE_KEYS) if target == key]
-        entries.append(F.struct(F.lit(key).alias("key"), strip(F.coalesce(*values)).alias("value")))
+        values = [strip(F.element_at(properties, source)) for source, target in reversed(FILE_KEYS) if target == key]
+        found = F.coalesce(*[F.when(~v.isin("", "[]"), v) for v in values])
+        entries.append(F.struct(F.lit(key).alias("key"), (_let(found, _names) if key == "authors" else found).alias("value")))
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.value.isNotNull()))
 
 
@@ -79,6 +90,19 @@ def update_manually(current: Column, update: Mapping[str, Column | str | None])
     return F.when(F.size(changes) > 0, overlay(current, marked)).otherwise(current)
 
 
+def update_bulk(documents: DataFrame, updates: DataFrame, id_col: str = "id", value_col: str = "document_metadata") -> DataFrame:
+    """Documents with manual updates of ``updates`` (id, fields: a map) laid over their metadata, as JSON.
+
+    Of several updates of one document the fields come together (of equal ones the greatest value); documents without
+    an update, and with one of nulls only, stay as they are.
+    """
+    fields = updates.select(F.col(id_col), F.explode(F.map_filter("fields", lambda _, v: v.isNotNull())).alias("k", "v")).groupBy(id_col, "k").agg(F.max("v").alias("v"))
+    given = fields.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("_set"))
+    marks = F.create_map(F.lit("manually_updated"), F.lit("true"), F.lit("manual_update_fields"), F.array_join(F.array_sort(F.map_keys("_set")), ","))
+    changed = F.to_json(overlay(as_map(F.col(value_col)), F.map_concat(F.col("_set"), marks)))
+    return documents.join(given, id_col, "left").withColumn(value_col, F.when(F.col("_set").isNotNull(), changed).otherwise(F.col(value_col))).drop("_set")
+
+
 def replace(documents: DataFrame, updates: DataFrame, id_col: str = "id", value_col: str = "document_metadata") -> DataFrame:
     """Documents with the values of ``updates`` (id, value) in place of theirs."""
     new = updates.select(F.col(id_col), F.col(value_col).alias("_new"), F.lit(True).alias("_given"))

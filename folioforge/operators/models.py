@@ -88,9 +88,9 @@ def with_retries(call: Callable[[str], dict[str, Any]], prompt: str, attempts: i
     raise AssertionError
 
 
-def _call(model: Callable[[str], dict[str, Any]], calls: int, attempts: int, least: float):
+def _call(model: Callable[[str], dict[str, Any]], calls: int | None, attempts: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limiter = RateLimiter(calls)
+        limiter = RateLimiter(calls) if calls else None
         for b in batches:
             out: dict[str, list[Any]] = {"cache_key": [], "content": [], "model": [], "cost": [], "error": []}
             for key, prompt in zip(b.column("cache_key").to_pylist(), b.column("prompt").to_pylist(), strict=True):
@@ -105,11 +105,11 @@ def _call(model: Callable[[str], dict[str, Any]], calls: int, attempts: int, lea
     return run
 
 
-def generate(df: DataFrame, model: Callable[[str], dict[str, Any]], model_name: str, cache: DataFrame | None = None, as_of: Column | None = None, partitions: int = 8, calls_per_minute: int = CALLS_PER_MINUTE * 8, attempts: int = 5, least: float = 4) -> tuple[DataFrame, DataFrame]:
+def generate(df: DataFrame, model: Callable[[str], dict[str, Any]], model_name: str, cache: DataFrame | None = None, as_of: Column | None = None, partitions: int | None = None, calls_per_minute: int | None = CALLS_PER_MINUTE, attempts: int = 5, least: float = 4) -> tuple[DataFrame, DataFrame]:
     """Answers to ``prompt`` as ``content, model, cost, error, cached``; and the entries that are new to the cache.
 
     Equal prompts are asked once, and not at all if ``cache`` (cache_key, content, model, cost, created_at) has them
-    within an hour before ``as_of``. New answers are written down before they are joined, so that no call is repeated
+    within an hour before ``as_of``. ``calls_per_minute`` (None for no limit) is shared by the partitions. New answers are written down before they are joined, so that no call is repeated
     by a retried stage that reads them. Failures come out as rows with their error.
     """
     now = as_of if as_of is not None else F.current_timestamp()
@@ -120,8 +120,10 @@ def generate(df: DataFrame, model: Callable[[str], dict[str, Any]], model_name:
         fresh = cache.where((F.col("created_at") <= now) & (F.col("created_at") > now - F.make_interval(secs=F.lit(TTL_SECONDS))))
         known = fresh.groupBy("cache_key").agg(F.max_by(F.struct("content", "model", "cost"), "created_at").alias("r")).select("cache_key", "r.*", F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
         wanted = wanted.join(known, "cache_key", "left_anti")
-    share = max(1, calls_per_minute // partitions)
-    answers = wanted.repartition(partitions).mapInArrow(_call(model, share, attempts, least), "cache_key string, content string, model string, cost double, error string")
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, calls_per_minute // partitions) if calls_per_minute else None
+    answers = wanted.repartition(partitions, "cache_key").mapInArrow(_call(model, share, attempts, least), "cache_key string, content string, model string, cost double, error string")
     new = materialize(answers.withColumn("cached", F.lit(False)), "answers")
     every = new if known is None else new.unionByName(known)
     return keyed.join(every, "cache_key", "left"), new.where("error is null").select("cache_key", "content", "model", "cost", now.alias("created_at"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.vectors import cosine, l2_distance, literal
-from folioforge.session import materialize
 
-#: Query vectors that the driver holds, and that go to the executors, at once.
+#: Query vectors that go to the executors at once, and rows that such a block meets in one task.
 QUERY_BLOCK = 4096
+ROW_BLOCK = 32768
 
 
 def top_k(df: DataFrame, query: Sequence[float], vector_col: str, id_col: str, k: int = 5) -> DataFrame:
@@ -91,35 +89,56 @@ def _block_hits(source: DataFrame, block: list, k: int, same: str | None, kind:
         scoped = source.where(F.col(same) == value) if same else source
         hits = scoped.select("id", "v").mapInArrow(run, f"query_id {kind}, id {kind}, distance double")
         found = hits if found is None else found.unionByName(hits)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found
+
+
+def _meet(k: int, kind: pa.DataType):
+    """The nearest of one block of rows to each query of one block."""
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        names = ["query_id", "id", "distance"]
+        out = [pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], names)]
+        lengths = pa.compute.list_value_length(queries.column("v")).to_numpy()
+        for length in np.unique(lengths):
+            part = queries.filter(pa.array(lengths == length))
+            x = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+            out += _nearest(x, part.column("id").to_pylist(), k, kind)(iter(rows.combine_chunks().to_batches()))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _blocks_hits(source: DataFrame, wanted: DataFrame, n_queries: int, k: int, same: str | None, kind: str, block: int) -> DataFrame:
+    """Candidates of many queries: blocks of queries meet blocks of rows in a shuffle, by the value of ``same`` if given."""
+    row_blocks, query_blocks = max(1, -(-source.count() // ROW_BLOCK)), -(-n_queries // block)
+    key = [F.col(same).alias("same")] if same else [F.lit(0).alias("same")]
+    number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = source.select(*key, "id", "v", number(row_blocks).alias("r"), every(query_blocks).alias("q"))
+    asked = wanted.select(*key, "id", "v", number(query_blocks).alias("q"), every(row_blocks).alias("r"))
+    arrow = pa.int64() if kind == "bigint" else pa.string()
+    return asked.groupBy("same", "r", "q").cogroup(rows.groupBy("same", "r", "q")).applyInArrow(_meet(k, arrow), f"query_id {kind}, id {kind}, distance double")
 
 
 def batched_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 5, same: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, id, distance, rank``: the k nearest rows of each query, ties by id.
 
-    ``queries`` has the columns of ``rows``. The stated queries pass through the driver in blocks, of which it holds
-    one at a time; each block meets the rows in a narrow pass that keeps k (and a few) a batch, and only those are
-    shuffled and ranked. Several blocks are written down one after the other. With ``same`` only rows that share that
-    column's value are neighbours. Rows and queries with a null vector, or of another length, don't meet.
+    ``queries`` has the columns of ``rows``. Up to ``block`` queries go to the executors at once, and meet the rows in
+    a narrow pass that keeps k a batch (and what ties with the last), of which only those are shuffled and ranked. More
+    queries stay where they are: blocks of them meet blocks of rows in a shuffle. With ``same`` only rows that share
+    that column's value are neighbours. Rows and queries with a null vector, or of another length, don't meet.
     """
     spark = rows.sparkSession
     columns = [F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")]
-    wanted = queries.select(*columns, *([same] if same else [])).where(F.col("v").isNotNull()).orderBy("id").toLocalIterator()
+    wanted = queries.select(*columns, *([same] if same else [])).where(F.col("v").isNotNull())
     source = rows.select(*columns, *([same] if same else [])).where(F.col("v").isNotNull())
     kind = source.schema["id"].dataType.simpleString()
-    first = list(islice(wanted, block))
-    if not first:
+    n_queries = wanted.limit(block + 1).count()
+    if not n_queries:
         return spark.createDataFrame([], f"query_id {kind}, id {kind}, distance double, rank int")
-    hits = _block_hits(source, first, k, same, kind)
-    following = list(islice(wanted, block))
-    if not following:
-        return hits
-    done = [materialize(hits, "hits")]
-    while following:
-        done.append(materialize(_block_hits(source, following, k, same, kind), "hits"))
-        following = list(islice(wanted, block))
-    return reduce(DataFrame.unionByName, done)
+    found = _block_hits(source, wanted.collect(), k, same, kind) if n_queries <= block else _blocks_hits(source, wanted, wanted.count(), k, same, kind, block)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def rerank(hits: DataFrame, query: Sequence[float], vector_col: str, id_col: str, k: int = 5) -> DataFrame:

@@ -385,9 +385,11 @@ def cache_hit_miss(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(first, "question").select(F.col("id").alias("job_id"), hit.alias("hit"))
 
 
-@query()
+@query(_RAG + f" SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS BIGINT) AS answer_no, original_filename AS filename, '[echo] ' || substr({_ASKED} text, 1, 200) AS content, sha256(text) AS hash FROM h WHERE text IS NOT NULL")
 def rag_answers_separate(spark: SparkSession, d: str) -> DataFrame:
-    return rag.answer(_questions(spark, d), _hits(spark, d).where("chunk_text is not null"), "separate").select("query_id", _int(F.length("data")).alias("n_chars"), _sha(F.col("data")).alias("hash"))
+    out = rag.answer(_questions(spark, d), _hits(spark, d).where("chunk_text is not null"), "separate")
+    parts = out.select("query_id", F.posexplode(F.from_json(F.get_json_object("data", "$.results"), "array<struct<source struct<filename string, chunk_text string>, llm_response struct<content string>>>")).alias("answer_no", "r"))
+    return parts.select("query_id", _int("answer_no").alias("answer_no"), F.col("r.source.filename").alias("filename"), F.col("r.llm_response.content").alias("content"), _sha(F.col("r.source.chunk_text")).alias("hash"))
 
 
 @query(_RAG + f", m AS (SELECT query_id, {_ASKED} {_MERGED} AS prompt FROM h WHERE text IS NOT NULL GROUP BY 1) SELECT query_id, '[echo] ' || substr(prompt, 1, 200) AS content FROM m")
@@ -417,10 +419,28 @@ def _raw(c: str = "document_metadata") -> Column:
     return F.get_json_object(c, "$._raw_file_metadata")
 
 
-@query(f"""WITH m AS (SELECT doc_id, {_META} AS m FROM documents) SELECT doc_id, 'title' AS key, json_extract_string(m, '$._raw_file_metadata.Title') AS value FROM m WHERE json_extract_string(m, '$._raw_file_metadata.Title') IS NOT NULL""")
+#: File properties made of a document's id: every third of a key is blank, every fifth absent, and authors are a text or a list.
+def _made(key: str, k: int) -> str:
+    return f"CASE WHEN (doc_id + {k}) % 5 = 0 THEN NULL WHEN (doc_id + {k}) % 3 = 0 THEN ' ' ELSE concat(' ', '{key}; of ', doc_id, ', x,, ') END"
+
+
+_SOURCES = [source for source, _ in metadata.FILE_KEYS] + ["Producer", "creator"]
+_BY_TARGET: dict[str, list[str]] = {}
+for _k, (_source, _target) in enumerate(metadata.FILE_KEYS):
+    _BY_TARGET.setdefault(_target, []).insert(0, f"nullif(trim({_made(_source, _k)}), '')")
+
+
+def _mapped_sql(target: str, values: list[str]) -> str:
+    value = f"coalesce({', '.join(values)})"
+    if target == "authors":
+        value = f"CAST(to_json(list_filter(list_transform(string_split(replace({value}, ';', ','), ','), lambda a: trim(a)), lambda a: a <> '')) AS VARCHAR)"
+    return f"SELECT doc_id, '{target}' AS key, {value} AS value FROM documents"
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(_mapped_sql(t, v) for t, v in _BY_TARGET.items()) + ") WHERE value IS NOT NULL")
 def metadata_key_map(spark: SparkSession, d: str) -> DataFrame:
-    mapped = metadata.map_file_keys(metadata.as_map(_raw()))
-    return _docs(spark, d).select("doc_id", F.explode(mapped))
+    made = F.map_from_arrays(F.array(*[F.lit(x) for x in _SOURCES]), F.array(*[F.expr(_made(x, k)) for k, x in enumerate(_SOURCES)]))
+    return _docs(spark, d).select("doc_id", F.explode(metadata.map_file_keys(made)))
 
 
 _SCALARS = ("title", "publication_date", "publisher", "doi", "source_url", "language", "document_type")
@@ -445,27 +465,40 @@ def manual_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ANSWER = """WITH r AS (SELECT DISTINCT job_id, data FROM results), o AS (SELECT job_id, CASE WHEN left(ltrim(data), 1) = '"' THEN json_extract_string(data, '$') ELSE data END AS data FROM r),
-a AS (SELECT job_id, json_extract_string(data, '$.result.content') AS content FROM o)"""
+s AS (SELECT job_id, CAST(json_extract(data, '$.results') AS JSON[]) AS l FROM o WHERE json_extract(data, '$.results') IS NOT NULL),
+a AS (SELECT job_id, 0 AS answer_no, coalesce(json_extract_string(data, '$.result.content'), json_extract_string(data, '$.content')) AS content FROM o WHERE json_extract(data, '$.results') IS NULL
+UNION ALL SELECT job_id, n AS answer_no, json_extract_string(r, '$.llm_response.content') FROM (SELECT job_id, unnest(range(len(l))) AS n, unnest(l) AS r FROM s))"""
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """The content of merged answers; a result that is encoded twice is a JSON string that holds the object."""
+    """The content of all answers: merged ones, those to single hits in their order, and those to single files.
+
+    A result that is encoded twice is a JSON string that holds the object.
+    """
     data = F.when(F.ltrim("data").startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), F.col("data"), F.lit("}")), "$.x")).otherwise(F.col("data"))
-    return table(spark, d, "results").select("job_id", "data").distinct().select("job_id", F.get_json_object(data, "$.result.content").alias("content"))
+    rows = table(spark, d, "results").select("job_id", "data").distinct().select("job_id", data.alias("data"))
+    several = F.from_json(F.get_json_object("data", "$.results"), "array<string>")
+    one = F.coalesce(F.get_json_object("data", "$.result.content"), F.get_json_object("data", "$.content"))
+    contents = F.when(several.isNotNull(), F.transform(several, lambda r: F.get_json_object(r, "$.llm_response.content"))).otherwise(F.array(one))
+    return rows.select("job_id", F.posexplode(contents).alias("answer_no", "content")).withColumn("answer_no", _int("answer_no"))
 
 
-@query(_ANSWER + " SELECT job_id, regexp_extract(content, '(?s)```json\\n(.*?)\\n```', 1) AS inner_json FROM a WHERE regexp_matches(content, '(?s)```json\\n(.*?)\\n```')")
+@query(_ANSWER + " SELECT job_id, answer_no, regexp_extract(content, '(?s)```json\\n(.*?)\\n```', 1) AS inner_json FROM a WHERE regexp_matches(content, '(?s)```json\\n(.*?)\\n```')")
 def fenced_json(spark: SparkSession, d: str) -> DataFrame:
     out = _answers(spark, d).where(F.col("content").rlike(r"(?s)```json\n.*?\n```"))
-    return out.select("job_id", T.strict_fence(F.col("content")).alias("inner_json"))
+    return out.select("job_id", "answer_no", T.strict_fence(F.col("content")).alias("inner_json"))
+
 
+_TITLE = "array_to_string(list_transform(string_split(replace({k}, '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+_SHOWN = f"""m AS (SELECT id, {_META} AS m FROM documents), e AS (SELECT id, m, unnest(json_keys(m)) AS k FROM m WHERE m IS NOT NULL),
+v AS (SELECT id, k, json_extract(m, '$."' || k || '"') AS j FROM e WHERE left(k, 1) <> '_'),
+t AS (SELECT id, k, CASE json_type(j) WHEN 'ARRAY' THEN array_to_string(json_extract_string(j, '$[*]'), ', ') ELSE json_extract_string(j, '$') END AS x FROM v WHERE json_type(j) <> 'NULL'),
+shown AS (SELECT id, sha256(string_agg({_TITLE.format(k="k")} || ': ' || x, chr(10) ORDER BY k)) AS hash FROM t GROUP BY 1)"""
 
-@query("""WITH m AS (SELECT doc_id, CASE WHEN json_valid(document_metadata) THEN document_metadata::JSON END AS m FROM documents), e AS (SELECT doc_id, m, unnest(json_keys(m)) AS k FROM m WHERE m IS NOT NULL)
-SELECT doc_id, count(*) FILTER (WHERE left(k, 1) <> '_' AND json_type(m, '$."' || k || '"') <> 'NULL') AS n_shown FROM e GROUP BY 1""")
+
+@query("WITH " + _SHOWN + " SELECT d.doc_id, coalesce(s.hash, sha256('')) AS hash FROM documents d LEFT JOIN shown s ON s.id = d.id")
 def display_details(spark: SparkSession, d: str) -> DataFrame:
-    shown = metadata.display(metadata.as_map(F.col("document_metadata")))
-    docs = _docs(spark, d).where(F.size(metadata.as_map(F.col("document_metadata"))) > 0)
-    return docs.select("doc_id", _int(F.when(shown == "", 0).otherwise(F.size(F.split(shown, "\n")))).alias("n_shown"))
+    return _docs(spark, d).select("doc_id", _sha(metadata.display(metadata.as_map(F.col("document_metadata")))).alias("hash"))
 
 
 # Catalogue and jobs.
@@ -482,9 +515,9 @@ def collection_detail_counts(spark: SparkSession, d: str) -> DataFrame:
     return catalog.collection_counts(table(spark, d, "collections"), _docs(spark, d), table(spark, d, "document_chunks"))
 
 
-@query("SELECT id, collection_id, filename, original_filename, lower(content_hash) AS content_hash, file_size, mime_type FROM documents")
+@query("WITH " + _SHOWN + " SELECT d.id, collection_id, filename, original_filename, lower(content_hash) AS content_hash, file_size, mime_type, coalesce(s.hash, sha256('')) AS shown FROM documents d LEFT JOIN shown s ON s.id = d.id")
 def document_detail(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.document_details(_docs(spark, d)).drop("shown")
+    return catalog.document_details(_docs(spark, d)).withColumn("shown", _sha(F.col("shown")))
 
 
 @query("""WITH w AS (SELECT id AS identifier FROM collections UNION ALL SELECT name FROM collections UNION ALL SELECT 'no such collection' UNION ALL SELECT '00000000-0000-0000-0000-000000000000')
@@ -578,19 +611,19 @@ def rate_window_count(spark: SparkSession, d: str) -> DataFrame:
 # Formats.
 
 
-@query(_ANSWER + " SELECT job_id, coalesce(content, '') AS markdown FROM a")
+@query(_ANSWER + " SELECT job_id, answer_no, coalesce(content, '') AS markdown FROM a")
 def format_markdown(spark: SparkSession, d: str) -> DataFrame:
     wrapped = F.to_json(F.struct("content"))
-    return _answers(spark, d).select("job_id", formats.as_markdown(wrapped).alias("markdown"))
+    return _answers(spark, d).select("job_id", "answer_no", formats.as_markdown(wrapped).alias("markdown"))
 
 
-_FENCED = _ANSWER + ", f AS (SELECT job_id, regexp_extract(content, '(?s)```json\\n(.*?)\\n```', 1) AS j FROM a WHERE regexp_matches(content, '(?s)```json\\n(.*?)\\n```'))"
+_FENCED = _ANSWER + ", f AS (SELECT job_id, answer_no, regexp_extract(content, '(?s)```json\\n(.*?)\\n```', 1) AS j FROM a WHERE regexp_matches(content, '(?s)```json\\n(.*?)\\n```'))"
 
 
-@query(_FENCED + " SELECT job_id, array_to_string(list_transform(json_extract_string(j, '$.response[*]'), lambda x: '- ' || x), chr(10)) AS listed FROM f WHERE json_valid(j)")
+@query(_FENCED + " SELECT job_id, answer_no, array_to_string(list_transform(json_extract_string(j, '$.response[*]'), lambda x: '- ' || x), chr(10)) AS listed FROM f WHERE json_valid(j)")
 def format_list(spark: SparkSession, d: str) -> DataFrame:
     out = _answers(spark, d).where(F.col("content").rlike(r"(?s)```json\n.*?\n```")).withColumn("j", T.strict_fence(F.col("content"))).where(F.try_parse_json("j").isNotNull())
-    return out.select("job_id", formats.as_list(F.col("j")).alias("listed"))
+    return out.select("job_id", "answer_no", formats.as_list(F.col("j")).alias("listed"))
 
 
 def _cell(x: str) -> str:
@@ -609,30 +642,15 @@ def _text_essay(spark: SparkSession, d: str, text: Column) -> DataFrame:
     return _docs(spark, d).select("doc_id", formats.as_essay(data).alias("essay"))
 
 
-@query(f"""WITH m AS (SELECT doc_id, coalesce(original_filename, '') AS a, coalesce(json_extract_string({_META}, '$.title'), '') AS b, coalesce(left(text, 60), '') AS c FROM documents)
-SELECT doc_id, 'file,title,"start, of text"' || chr(13) || chr(10) || {_cell('a')} || ',' || {_cell('b')} || ',' || {_cell('c')} || chr(13) || chr(10) AS csv FROM m""")
-def format_table_csv(spark: SparkSession, d: str) -> DataFrame:
-    return _text_csv(spark, d, "start, of text", F.substring("text", 1, 60))
-
-
-@query(f"""WITH m AS (SELECT doc_id, json_extract_string({_META}, '$.title') AS t, source, regexp_replace(left(text, 80), '^{_WS}+|{_WS}+$', '', 'g') AS x FROM documents)
-SELECT doc_id, regexp_replace('# ' || coalesce(t, 'Untitled Essay') || chr(10) || chr(10) || '## ' || coalesce(source, 'Introduction') || chr(10) || coalesce(x, ''), '{_WS}+$', '') AS essay FROM m""")
-def format_essay(spark: SparkSession, d: str) -> DataFrame:
-    return _text_essay(spark, d, F.substring("text", 1, 80))
-
-
-# The same of whole texts.
-
-
 @query(f"""WITH m AS (SELECT doc_id, coalesce(original_filename, '') AS a, coalesce(json_extract_string({_META}, '$.title'), '') AS b, coalesce(text, '') AS c FROM documents)
 SELECT doc_id, 'file,title,text' || chr(13) || chr(10) || {_cell('a')} || ',' || {_cell('b')} || ',' || {_cell('c')} || chr(13) || chr(10) AS csv FROM m""")
-def format_table_csv_whole(spark: SparkSession, d: str) -> DataFrame:
+def format_table_csv(spark: SparkSession, d: str) -> DataFrame:
     return _text_csv(spark, d, "text", F.col("text"))
 
 
 @query(f"""WITH m AS (SELECT doc_id, json_extract_string({_META}, '$.title') AS t, source, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS x FROM documents)
 SELECT doc_id, regexp_replace('# ' || coalesce(t, 'Untitled Essay') || chr(10) || chr(10) || '## ' || coalesce(source, 'Introduction') || chr(10) || coalesce(x, ''), '{_WS}+$', '') AS essay FROM m""")
-def format_essay_whole(spark: SparkSession, d: str) -> DataFrame:
+def format_essay(spark: SparkSession, d: str) -> DataFrame:
     return _text_essay(spark, d, F.col("text"))
 
 
@@ -666,14 +684,14 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("document_id", "page", F.col("page").alias("element_index"), F.when(F.contains(F.col("text"), F.lit(" | ")), "table").otherwise("text").alias("kind"), "text")
 
 
-@query(_ELEMENTS + " SELECT document_id, page, count(*) FILTER (WHERE kind = 'text') AS n_text, count(*) FILTER (WHERE kind = 'table') AS n_tables FROM e GROUP BY 1, 2")
+@query(_ELEMENTS + " SELECT document_id, page, count(*) FILTER (WHERE kind = 'text') AS n_text, count(*) FILTER (WHERE kind = 'table') AS n_tables, coalesce(sha256(string_agg(text, chr(30) ORDER BY element_index, text) FILTER (WHERE kind = 'text')), sha256('')) AS hash FROM e GROUP BY 1, 2")
 def page_grouping(spark: SparkSession, d: str) -> DataFrame:
     out = layout.group_pages(_elements(spark, d))
-    return out.select("document_id", "page", _int(F.size("text_blocks")).alias("n_text"), _int(F.size("tables")).alias("n_tables"))
+    return out.select("document_id", "page", _int(F.size("text_blocks")).alias("n_text"), _int(F.size("tables")).alias("n_tables"), _sha(F.array_join("text_blocks", "\x1e")).alias("hash"))
 
 
-@query(_ELEMENTS + """, g AS (SELECT document_id, string_agg(text, ' ' ORDER BY element_index) FILTER (WHERE kind = 'text') AS t FROM e GROUP BY 1)
-SELECT document_id, coalesce(length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) >= 50, false) AS valid FROM g""")
+@query(_ELEMENTS + f""", g AS (SELECT document_id, string_agg(text, ' ' ORDER BY element_index) FILTER (WHERE kind = 'text') AS t FROM e GROUP BY 1)
+SELECT document_id, coalesce(length(regexp_replace(t, '^{_WS}+|{_WS}+$', '', 'g')) >= 50, false) AS valid FROM g""")
 def validate_result(spark: SparkSession, d: str) -> DataFrame:
     return layout.valid_results(_elements(spark, d), ["document_id"])
 

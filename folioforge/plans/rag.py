@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.embedding import embed
+from folioforge.functions.embedding import embed, hash_vectors
 from folioforge.functions.text import fenced_json, json_object, stem
 from folioforge.operators import metadata
 from folioforge.operators.chunking import concatenate, explode_chunks, recursive_chunks
 from folioforge.operators.formats import EXTENSIONS, formatter
 from folioforge.operators.models import echo, echo_responses
 from folioforge.operators.prompts import CONTEXT_SEPARATOR, compose, question_prompt
+from folioforge.operators.search import batched_top_k, search_scope
+from folioforge.session import materialize
 
 #: Messages when nothing is found.
 NO_DOCUMENTS = "No relevant documents found."
@@ -27,9 +29,61 @@ def index(documents: DataFrame, id_col: str = "id", text_col: str = "text", size
     """
     docs = documents.select(F.col(id_col).alias("document_id"), "collection_id", F.col(text_col).alias("text")).where("text is not null")
     chunks = explode_chunks(docs, recursive_chunks(F.col("text"), size, overlap), "document_id", "collection_id")
+    return _with_vectors(chunks)
+
+
+def index_with_metadata(documents: DataFrame, components: Mapping[str, str], max_length: int, respond: Callable[[Column], Column] = echo, id_col: str = "id", text_col: str = "text", size: int = 500, overlap: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Chunks with vectors as of index(), and the documents with the metadata that a model found in their first chunks.
+
+    What a document has as ``document_metadata`` are its file properties; a model's answer without a JSON object
+    leaves them.
+    """
+    docs = documents.select(F.col(id_col).alias("document_id"), "collection_id", F.col(text_col).alias("text")).where("text is not null")
+    chunks = materialize(explode_chunks(docs, recursive_chunks(F.col("text"), size, overlap), "document_id", "collection_id"), "chunks")
+    properties = documents.select(F.col(id_col).alias("document_id"), metadata.as_map(F.col("document_metadata")).alias("properties"))
+    found = extract_metadata(chunks, properties, components, max_length, respond).select(F.col("document_id").alias(id_col), F.to_json("metadata").alias("document_metadata"))
+    return _with_vectors(chunks), metadata.replace(documents, found, id_col)
+
+
+def _with_vectors(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", F.sha2(F.concat_ws("/", "document_id", F.col("chunk_index").cast("string")), 256)).withColumn("embedding", embed(F.col("chunk_text")))
 
 
+def zip_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks (document_id, chunk_index) with the vectors of the same positions; what one side lacks is left out."""
+    return chunks.join(vectors.select("document_id", "chunk_index", "embedding"), ["document_id", "chunk_index"])
+
+
+def question_vector(question: str, model: Callable[[list[str | None]], list[list[float]]] = hash_vectors) -> list[float]:
+    return model([question])[0]
+
+
+def find(question: str, chunks: DataFrame, documents: DataFrame, scope_col: str, scope: object, id_col: str, k: int = 5, model: Callable[[list[str | None]], list[list[float]]] = hash_vectors) -> DataFrame:
+    """The hits of a question in a collection or document, with query_id 0 and rank."""
+    hits = search_scope(chunks, documents, question_vector(question, model), scope_col, scope, id_col, k)
+    rank = F.row_number().over(Window.orderBy("distance", id_col))  # of k rows
+    return hits.withColumn("rank", rank).withColumns({"query_id": F.lit(0), "question": F.lit(question)})
+
+
+def ask(question: str, hits: DataFrame, strategy: str, nothing: str = NO_DOCUMENTS) -> DataFrame:
+    """A question's result over its hits: ``query_id, data``; the fixed message if there are none."""
+    asked = hits.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(question).alias("question"))
+    return answer(asked, hits, strategy, nothing)
+
+
+def analyse(hits: DataFrame, components: Mapping[str, str], strategy: str, max_length: int, respond: Callable[[Column], Column] = echo) -> DataFrame:
+    """Answers of an analysis over its hits: one each for ``separate`` (with its rank), else one over all of them."""
+    prompts = analyse_hits(hits, components, strategy, max_length)
+    return prompts.select("query_id", *(["rank"] if strategy == "separate" else []), respond(F.col("prompt")).alias("content"))
+
+
+def contradicting(claims: DataFrame, chunks: DataFrame, id_col: str, k: int = 5, negate: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The chunks nearest to the negation of each claim (claim_id, claim), which ``negate`` writes: a model's prompt and answer."""
+    write = negate or (lambda c: F.concat(F.lit("It is not true that "), c))
+    asked = materialize(claims.select(F.col("claim_id").alias(id_col), embed(write(F.col("claim"))).alias("embedding")), "negated")
+    return batched_top_k(chunks, asked, id_col, "embedding", k).withColumnsRenamed({"query_id": "claim_id"})
+
+
 def separate_prompts(hits: DataFrame) -> DataFrame:
     """A prompt for every hit (query_id, question, rank, chunk_text, ...)."""
     return hits.withColumn("prompt", question_prompt(F.col("question"), F.col("chunk_text")))

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Collection, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests, where it is unset, one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or on one machine, where it is unset, one of our own.
+
+    On a cluster the setting must be there: a folder of one machine would hold a part of each step only.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not _one_process(spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = spark.conf.get("spark.folioforge.sharedDir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="folioforge-")
@@ -49,10 +60,21 @@ def _drop(spark: SparkSession, path: str) -> None:
 _written: set[str] = set()
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all steps that were written so far; no DataFrame that reads one may be used any more."""
-    while _written:
-        _drop(spark, _written.pop())
+def release(spark: SparkSession, keep: Collection[str] = ()) -> None:
+    """Deletes the steps that were written so far, but those of ``keep``; no DataFrame that reads one may be used any more."""
+    for path in _written - set(keep):
+        _written.discard(path)
+        _drop(spark, path)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was written within: write or collect a result before its steps go."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        release(spark, before)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

@@ -1,7 +1,7 @@
 """Files as rows: folder scans, readers by MIME type, and element rows of documents.
 
 Readers are functions of a file's bytes that give element texts with metadata, and metadata of the file. Text,
-Markdown, HTML and EPUB are read here; PDF, MOBI and OCR engines are seams to be registered.
+Markdown, HTML, EPUB, PDF with a text layer and MOBI are read; an OCR engine is a seam to be registered.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import base_name, extension, sniff_mime
 from folioforge.sources.html import html_to_text
+from folioforge.sources.mobi import read_mobi
+from folioforge.sources.pdf import read_pdf
 
 #: A reader gives ([(text, metadata)], file metadata).
 Reader = Callable[[bytes], tuple[list[tuple[str, dict[str, str]]], dict[str, Any]]]
@@ -27,11 +29,16 @@ MAX_FILES = 999
 ELEMENT_SCHEMA = "path string, element_index bigint, kind string, text string, metadata map<string,string>, file_metadata string, error string"
 
 
-def scan_folder(spark: SparkSession, path: str, recursive: bool = False, extensions: tuple[str, ...] = DEFAULT_EXTENSIONS, max_files: int = MAX_FILES, content: bool = True) -> DataFrame:
-    """``path, name, size, modified, content`` of a folder's files with the extensions, in the order of paths, at most max_files."""
+def scan_folder(spark: SparkSession, path: str, recursive: bool = False, extensions: tuple[str, ...] | None = DEFAULT_EXTENSIONS, max_files: int | None = MAX_FILES, content: bool = True) -> DataFrame:
+    """``path, name, size, modified, content`` of a folder's files with the extensions, in the order of paths, at most max_files.
+
+    None for either takes all files, as a batch does.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     rows = files.select("path", base_name(F.col("path")).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
-    return rows.where(extension(F.col("name")).isin(*[e.lower() for e in extensions])).orderBy("path").limit(max_files)
+    if extensions is not None:
+        rows = rows.where(extension(F.col("name")).isin(*[e.lower() for e in extensions]))
+    return rows.orderBy("path").limit(max_files) if max_files is not None else rows
 
 
 def read_text(content: bytes) -> tuple[list[tuple[str, dict[str, str]]], dict[str, Any]]:
@@ -86,8 +93,8 @@ READERS: dict[str, Reader] = {
     "text/markdown": read_text,
     "text/html": read_html,
     "application/epub+zip": read_epub,
-    "application/pdf": missing("PDF"),
-    "application/x-mobipocket-ebook": missing("MOBI"),
+    "application/pdf": read_pdf,
+    "application/x-mobipocket-ebook": read_mobi,
     "image/*": missing("images (OCR)"),
 }
 

@@ -1,13 +1,14 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge import config
 from folioforge.functions.embedding import embed, hash_vectors
 from folioforge.functions.vectors import cosine, l2_distance, literal
-from folioforge.operators import formats, ingest, jobs, layout, metadata, models, prompts, rates, search
+from folioforge.operators import catalog, formats, ingest, jobs, layout, metadata, models, prompts, rates, search
 from folioforge.plans import rag
 
 T0 = dt.datetime(2026, 1, 1)
@@ -96,7 +97,7 @@ def test_metadata(spark):
     assert merged(spark, {}, {}) == {}
     raw = merged(spark, {"Title": " T ", "/Author": "A"}, {})
     assert json.loads(raw.pop("_raw_file_metadata")) == {"Title": " T ", "/Author": "A"}
-    assert raw == {"title": "T", "authors": "A", "llm_extracted": "true", "extraction_method": "llm_analysis"}
+    assert raw == {"title": "T", "authors": '["A"]', "llm_extracted": "true", "extraction_method": "llm_analysis"}
     both = merged(spark, {"Title": "T"}, {"title": "L", "doi": "", "keywords": "[]", "unknown": "x"})
     assert both["title"] == "L" and "doi" not in both and "keywords" not in both and "unknown" not in both
     assert merged(spark, {"Producer": "P"}, {}) == {"_raw_file_metadata": '{"Producer":"P"}'}
@@ -245,3 +246,34 @@ def test_config():
     with pytest.raises(KeyError):
         config.fill("${X}", {})
     assert config.get({"a": {"b": None}}, "a.b", 3) == 3 and config.get({"a": {"b": 0}}, "a.b", 3) == 0
+
+
+def test_file_keys_in_their_order(spark):
+    rows = [{"authors": "A; B", "publication_date": "2020", "Title": "x", "title": " ", "creator": "tool", "date": "2001"}, {"/Author": '["C ", ""]', "Author": "D", "Subject": " s ", "/Subject": ""}, {"authors": "[]", "Author": "E,;"}, {}, None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, p map<string,string>")
+    got = {r.i: r.m for r in df.select("i", metadata.map_file_keys(F.col("p")).alias("m")).collect()}
+    assert got[0] == {"title": "x", "authors": '["A","B"]', "publication_date": "2020"}
+    assert got[1] == {"authors": '["C"]', "abstract": "s"} and got[2] == {"authors": '["E"]'} and got[3] == {} and not got[4]
+
+
+def test_valid_results_strip_all_blanks(spark):
+    text = "　 " + "x" * 49 + "  "
+    df = spark.createDataFrame([("a", 0, "text", text), ("b", 0, "text", text + "x"), ("b", 1, "text", "　")], "document_id string, element_index int, kind string, text string")
+    assert {r.document_id: r.valid for r in layout.valid_results(df, ["document_id"]).collect()} == {"a": False, "b": True}
+
+
+def test_collection_pages(spark):
+    docs = spark.createDataFrame([(f"d{i:03}", "c", "f", "o", i) for i in range(250)], "id string, collection_id string, filename string, original_filename string, file_size int")
+    pages = catalog.collection_pages(spark.createDataFrame([("c", "n"), ("e", "m")], "id string, name string"), docs, page_size=50).collect()
+    full = [p for p in pages if p.collection_id == "c"]
+    assert len(full) == 5 and sorted(x.id for p in full for x in p.documents) == [f"d{i:03}" for i in range(250)] and {p.n_documents for p in full} == {250}
+    assert [(p.n_documents, p.page, p.documents) for p in pages if p.collection_id == "e"] == [(0, 0, [])]
+
+
+def test_blocks_by_group(spark):
+    """Blocks of queries and rows that meet in a shuffle give what one pass gives, also within groups."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, i % 3, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(120)] + [(900, 1, None), (901, 1, [1.0])], "id bigint, g int, v array<double>")
+    for same in (None, "g"):
+        want = {tuple(r) for r in search.batched_top_k(df, df.where("id % 2 = 0"), "id", "v", 3, same).collect()}
+        assert {tuple(r) for r in search.batched_top_k(df, df.where("id % 2 = 0"), "id", "v", 3, same, block=7).collect()} == want

@@ -1,5 +1,6 @@
 import pytest
 
+import folioforge.plans.store_queries  # noqa: F401  (registers its queries)
 from folioforge.plans.queries import ORACLE, QUERIES
 from tests.oracle import check
 
@@ -25,9 +26,9 @@ def test_formats_of_whole_texts(spark, tmp_path):
     """What lies beyond the first characters of a text reaches the formatters."""
     text = "plain words " * 20 + 'then a "quoted" one,\r\na line and the end'
     spark.createDataFrame([(1, "a.txt", '{"title": "T"}', "S", text), (2, None, None, None, None)], "doc_id bigint, original_filename string, document_metadata string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    csv = {r.doc_id: r.csv for r in QUERIES["format_table_csv_whole"](spark, str(tmp_path)).collect()}
+    csv = {r.doc_id: r.csv for r in QUERIES["format_table_csv"](spark, str(tmp_path)).collect()}
     assert csv == {1: 'file,title,text\r\na.txt,T,"' + text.replace('"', '""') + '"\r\n', 2: "file,title,text\r\n,,\r\n"}
-    essay = {r.doc_id: r.essay for r in QUERIES["format_essay_whole"](spark, str(tmp_path)).collect()}
+    essay = {r.doc_id: r.essay for r in QUERIES["format_essay"](spark, str(tmp_path)).collect()}
     assert essay == {1: f"# T\n\n## S\n{text}", 2: "# Untitled Essay\n\n## Introduction"}
 
 

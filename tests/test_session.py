@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from folioforge.session import broadcast_if_small, materialize, release, shared_dir
 
 
@@ -24,3 +26,29 @@ def test_checkpoint_folder_of_the_session():
         conf = Conf({"spark.checkpoint.dir": "hdfs://somewhere/shared/"})
 
     assert shared_dir(Session()) == "hdfs://somewhere/shared"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from folioforge import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Remote:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Remote())
+
+
+def test_steps_release_what_they_wrote(spark):
+    from folioforge import session
+
+    kept = session.materialize(spark.range(3), "kept")
+    with session.steps(spark):
+        inner = session.materialize(spark.range(4), "inner")
+        assert inner.count() == 4
+        path = inner.inputFiles()[0]
+    assert kept.count() == 3 and not os.path.exists(path.removeprefix("file://"))

@@ -36,7 +36,7 @@ def test_readers(spark, tmp_path):
     rows = {r.path.rsplit("/", 1)[1]: r for r in files.read_elements(flat).collect()}
     assert rows["a.txt"].text == "plain" and rows["b.md"].text == "# head"
     assert rows["e.epub"].text.strip() == "First & last" and rows["e.epub"].metadata == {"chapter": "a.xhtml"} and '"creators": ["A", "B"]' in rows["e.epub"].file_metadata
-    assert "no engine" in rows["c.pdf"].error and rows["bad.txt"].error
+    assert "no pages" in rows["c.pdf"].error and rows["bad.txt"].error
     own = {"application/pdf": lambda content: ([("page", {"page_number": "1"})], {"Title": "T"})}
     assert files.read_elements(flat.where("name = 'c.pdf'"), own).first().text == "page"
 
