@@ -24,11 +24,12 @@ CONFUSIONS = [
     ("g", "q"), ("q", "g"), ("h", "b"), ("b", "h"), ("in", "m"), ("w", "vv"), ("li", "h"), ("é", "6"), ("cl", "d"), ("ü", "ii"), ("ii", "u"), ("ii", "ü"), ("rn", "m"), ("b", "8"), ("nn", "m"), ("ri", "n"), ("m", "in"), ("h", "li"),
     ("vv", "w"), ("z", "2"), ("g", "9"), ("b", "6"), ("s", "8"), ("m", "nn"), ("n", "u"), ("u", "n"), ("i", "j"), ("y", "v"), ("ä", "a"), ("fi", "h"),
 ]
-#: A frequent word has at least so many occurrences, and so many times those of the rare word that it corrects.
-FREQUENT = 30
+#: How many times as frequent as a misread word its correction is, whatever the size of the corpus.
 RATIO = 25
-#: Different misread words that a document holds at least, before any of them counts.
-DOCUMENT_FORMS = 2
+#: A word with two confusions has at least so many characters, and no more occurrences than this.
+TWICE_LENGTH, TWICE_COUNT = 7, 2
+#: Pages from one occurrence of a header to the next, on average, at most.
+HEADER_GAP = 4
 BROADCAST_ROWS = 200_000
 
 _DASH = r"(?:-|\x{AC}|\x{AD}) ?"
@@ -59,23 +60,56 @@ def _python_hash(text: str) -> int:
 
 
 def word_counts(chunks: DataFrame, text_col: str) -> DataFrame:
-    """``word, n`` of every word in lower case over all texts, with three characters or more and a letter."""
+    """``word, n`` of every word in lower case over all texts, with two characters or more and a letter."""
     words = F.explode(F.regexp_extract_all(F.lower(_joined(F.col(text_col))), F.lit(_WORDS), F.lit(0)))
-    return chunks.select(words.alias("word")).where(F.length("word") >= 3).groupBy("word").agg(F.count("*").alias("n")).where(F.col("word").rlike(r"[\p{L}]"))
+    return chunks.select(words.alias("word")).where(F.length("word") >= 2).groupBy("word").agg(F.count("*").alias("n")).where(F.col("word").rlike(r"[\p{L}]"))
+
+
+def _confusions() -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("no"), F.lit(a).alias("printed"), F.lit(b).alias("read"), F.lit(_python_hash(b) - _python_hash(a)).alias("difference")) for i, (a, b) in enumerate(CONFUSIONS)])
+
+
+def _misread(right: Column, printed: Column, read: Column) -> Column:
+    """All forms of a word with one occurrence of what is printed as it is read."""
+    at = F.filter(F.sequence(F.lit(1), F.length(right)), lambda p: F.substring(right, p, F.length(printed)) == printed)
+    return F.transform(at, lambda p: F.concat(F.substring(right, F.lit(1), p - 1), read, F.substring(right, p + F.length(printed), F.length(right))))
+
+
+def _rare(counts: DataFrame) -> DataFrame:
+    """Words that may be misread; of two characters those that mix letters and digits."""
+    return counts.where((F.length("word") >= 3) | F.col("word").rlike("[0-9]")).withColumn("hash", anagram_hash(F.col("word")))
+
+
+def _frequent(counts: DataFrame) -> DataFrame:
+    return counts.where(F.col("n") >= RATIO).select(F.col("word").alias("correct"), F.col("n").alias("m"), anagram_hash(F.col("word")).alias("h"))
 
 
 def corrections(counts: DataFrame) -> DataFrame:
-    """``word, correct``: rare words that one confusion makes of a frequent one; the most frequent, if several fit."""
-    table = F.array(*[F.struct(F.lit(a).alias("printed"), F.lit(b).alias("read"), F.lit(_python_hash(b) - _python_hash(a)).alias("difference")) for a, b in CONFUSIONS])
-    hashed = counts.where(F.length("word") <= 40).withColumn("hash", anagram_hash(F.col("word")))
-    frequent = hashed.where(F.col("n") >= FREQUENT).select(F.col("word").alias("correct"), F.col("n").alias("m"), F.col("hash").alias("h"))
+    """``word, correct``: rare words that one confusion makes of a frequent one.
+
+    Where several fit, the rank is a noisy channel's: how many words of the corpus a confusion alone explains, times
+    how frequent the correction is.
+    """
     # Every word with the differences of the confusions that it can hold.
-    held = hashed.select("word", "n", "hash", F.explode(F.filter(table, lambda c: F.contains(F.col("word"), c.read))).alias("c"))
-    rare = held.select("word", "n", "c.printed", "c.read", (F.col("hash") - F.col("c.difference")).alias("h"))
-    at = F.sequence(F.lit(1), F.length("correct"))
-    made = F.exists(at, lambda p: F.concat(F.substring("correct", F.lit(1), p - 1), F.col("read"), F.substring(F.col("correct"), p + F.length("printed"), F.lit(100))) == F.col("word"))
-    fits = rare.join(frequent, "h").where((F.col("m") >= F.col("n") * RATIO) & made)
-    return fits.groupBy("word").agg(F.max_by("correct", F.struct("m", "correct")).alias("correct"))
+    held = _rare(counts).select("word", "n", "hash", F.explode(F.filter(_confusions(), lambda c: F.contains(F.col("word"), c.read))).alias("c"))
+    rare = held.select("word", "n", "c.no", "c.printed", "c.read", (F.col("hash") - F.col("c.difference")).alias("h"))
+    met = rare.join(_frequent(counts), "h").where(F.col("m") >= F.col("n") * RATIO)
+    fits = materialize(met.where(F.array_contains(_misread(F.col("correct"), F.col("printed"), F.col("read")), F.col("word"))).select("word", "no", "correct", "m"), "fits")
+    alone = fits.groupBy("word").agg(F.count("*").alias("k"), F.min("no").alias("no")).where("k = 1")
+    support = alone.groupBy("no").agg(F.count("*").alias("support"))  # a row a confusion
+    ranked = fits.join(F.broadcast(support), "no", "left").withColumn("score", (F.coalesce("support", F.lit(0)) + 1) * F.col("m"))
+    return ranked.groupBy("word").agg(F.max_by("correct", F.struct("score", "m", "correct")).alias("correct"))
+
+
+def double_corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """``word, correct`` of those of ``words`` (word, n) that two confusions make of a frequent one; the most frequent, if several fit."""
+    held = words.withColumn("hash", anagram_hash(F.col("word"))).withColumn("c", F.filter(_confusions(), lambda c: F.contains(F.col("word"), c.read)))
+    one = held.select("word", "n", "hash", "c", F.explode("c").alias("x"))
+    two = one.select("word", "n", "hash", "x", F.explode(F.filter("c", lambda c: c.no >= F.col("x.no"))).alias("y"))
+    met = two.withColumn("h", F.col("hash") - F.col("x.difference") - F.col("y.difference")).join(_frequent(counts), "h").where(F.col("m") >= F.col("n") * RATIO)
+    once = _misread(F.col("correct"), F.col("x.printed"), F.col("x.read"))
+    again = F.flatten(F.transform(once, lambda w: _misread(w, F.col("y.printed"), F.col("y.read"))))
+    return met.where(F.array_contains(again, F.col("word"))).groupBy("word").agg(F.max_by("correct", F.struct("m", "correct")).alias("correct"))
 
 
 def skeleton(line: Column) -> Column:
@@ -111,16 +145,16 @@ def running_headers(edges: DataFrame) -> DataFrame:
     """``id, line_no`` of edge lines that recur on other pages of their document, however they were read.
 
     A line recurs if its whole skeleton, or two of its beginning, middle and end, stand on the same side of several
-    pages, which are at least a fifth of those of the document.
+    pages, which are at least a fifth of those of the document, or follow each other at HEADER_GAP pages or less.
     """
     text = F.regexp_replace("line", _MARGIN, "")
     lines = edges.withColumn("s", skeleton(text)).where((F.length("s") >= 5) & ~F.col("line").rlike(r"[-.,;:\x{AC}\x{AD}]\s*$") & ~F.col("line").rlike(rf"(?i)^\W*{_WORD_FOR_PAGE}?\W*{_NUMBER}{_OF}\W*$"))
     third = F.greatest(F.lit(3), F.ceil(F.length("s") / 3)).cast("int")
     start, middle, end = F.substring("s", F.lit(1), third), F.substring("s", third + 1, third), F.substring("s", -third, third)
     keys = F.array(F.concat(F.lit("="), F.col("s")), F.concat(F.lit("1"), start, F.lit(" "), middle), F.concat(F.lit("2"), start, F.lit(" "), end), F.concat(F.lit("3"), middle, F.lit(" "), end))
-    parts = lines.select("id", "document_id", "side", "line_no", F.explode(F.when(F.length("s") >= 9, keys).otherwise(F.slice(keys, 1, 1))).alias("key"))
+    parts = lines.select("id", "document_id", "page", "side", "line_no", F.explode(F.when(F.length("s") >= 9, keys).otherwise(F.slice(keys, 1, 1))).alias("key"))
     pages = edges.groupBy("document_id").agg(F.count_distinct("id").alias("n_pages"))
-    recurring = parts.groupBy("document_id", "side", "key").agg(F.count_distinct("id").alias("n")).where("n >= 2").join(pages, "document_id").where("n * 5 >= n_pages").select("document_id", "side", "key")
+    recurring = parts.groupBy("document_id", "side", "key").agg(F.count_distinct("id").alias("n"), (F.max("page") - F.min("page")).alias("span")).where("n >= 2").join(pages, "document_id").where((F.col("n") * 5 >= F.col("n_pages")) | (F.col("span") <= HEADER_GAP * (F.col("n") - 1))).select("document_id", "side", "key")
     return parts.join(recurring, ["document_id", "side", "key"], "left_semi").select("id", "line_no").distinct()
 
 
@@ -172,29 +206,43 @@ def divided_words(chunks: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.select("id", "left", "dash", "right", (~(F.coalesce("hyphenated", F.lit(False)) & (F.trim("dash") == "-"))).alias("divided"))
 
 
-def misread_words(chunks: DataFrame, counts: DataFrame) -> DataFrame:
-    """``id, word, correct`` of words in wrapped texts that are misread; a document's single one is no evidence."""
+def misread_words(chunks: DataFrame, counts: DataFrame, scanned: DataFrame) -> DataFrame:
+    """``id, word, correct`` of words in wrapped texts that are misread.
+
+    One alone is evidence only in a document that shows other traces of scanning (``scanned``: document_id). Words with
+    two confusions are looked for in documents that have such traces, or other misread words.
+    """
     fixes = materialize(corrections(counts), "corrections")
     pages = chunks.where(F.col("text").contains("\n"))
-    words = pages.select("id", "document_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_joined(F.col("text"))), F.lit(_WORDS), F.lit(0)))).alias("word"))
+    split = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_joined(F.col("text"))), F.lit(_WORDS), F.lit(0))))
+    words = pages.select("id", "document_id", split.alias("word"))
     hits = materialize(words.join(broadcast_if_small(fixes, BROADCAST_ROWS), "word").distinct(), "misread")
-    enough = hits.groupBy("document_id").agg(F.count_distinct("word").alias("forms")).where(F.col("forms") >= DOCUMENT_FORMS).select("document_id")
-    return hits.join(enough, "document_id", "left_semi").select("id", "word", "correct")
+    several = hits.groupBy("document_id").agg(F.count_distinct("word").alias("forms")).where("forms >= 2").select("document_id")
+    enough = materialize(several.union(scanned.select("document_id")).distinct(), "scanned")
+    single = hits.join(enough, "document_id", "left_semi")
+    # Only pages of such documents are split again.
+    within = pages.join(broadcast_if_small(enough, BROADCAST_ROWS), "document_id", "left_semi")
+    left = materialize(within.select("id", split.alias("word")).where(F.length("word") >= TWICE_LENGTH), "scanned_words")
+    open_words = left.select("word").distinct().join(counts.where(F.col("n") <= TWICE_COUNT), "word").join(fixes, "word", "left_anti")
+    twice = materialize(double_corrections(open_words, counts), "double_corrections")
+    return single.select("id", "word", "correct").union(left.join(broadcast_if_small(twice, BROADCAST_ROWS), "word").select("id", "word", "correct")).distinct()
 
 
 def _parts(df: DataFrame, id_col: str, document_col: str, page_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    src = df.select(F.col(id_col).cast("string").alias("id"), F.col(document_col).cast("string").alias("document_id"), F.col(page_col).cast("bigint").alias("page"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    src = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.concat(F.lit("="), F.col(document_col).cast("string")), F.lit("")).alias("document_id"), F.col(page_col).cast("bigint").alias("page"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     counts = materialize(word_counts(src, "text"), "words")
     edges = materialize(edge_lines(src), "edges")
     headers = materialize(running_headers(edges), "headers")
-    return src, headers, materialize(page_numbers(edges, headers), "numbers"), divided_words(src, counts), misread_words(src, counts)
+    numbers = materialize(page_numbers(edges, headers), "numbers")
+    scanned = headers.select("id").union(numbers.select("id")).distinct().join(edges.select("id", "document_id").distinct(), "id").select("document_id")
+    return src, headers, numbers, divided_words(src, counts), misread_words(src, counts, scanned)
 
 
 def page_noise(df: DataFrame, id_col: str, document_col: str, page_col: str, text_col: str) -> DataFrame:
     """``id, noise``: a row for each text and kind of noise in it (hyphenation, misread, running_header, page_number).
 
     ``page_col`` orders a document's pages. Rows with a null id or text are left out; a null document is a document;
-    repeated rows count once. Words are counted over all texts, whole. An empty table gives no rows; other columns are
+    repeated rows come out once. Words are counted over all texts, whole. An empty table gives no rows; other columns are
     ignored, whatever their names.
     """
     _, headers, numbers, divided, misread = _parts(df, id_col, document_col, page_col, text_col)
