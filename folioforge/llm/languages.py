@@ -33,6 +33,8 @@ STRETCH = 4_000
 #: A part of fewer words in another language must be as sure as this.
 SHORT_PART, SURE = 6, 0.9
 WORD = re.compile(r"[^\W\d_]+")
+#: Addresses are in no language.
+ADDRESS = re.compile(r"(?:https?://|www\.)\S+", re.I)
 
 _LEXICONS = [frozenset(FUNCTION_WORDS[x].split()) for x in LANGUAGES]
 
@@ -74,6 +76,11 @@ def word_features(word: str) -> list[int]:
     return sorted(hashed) + [k for k, own in enumerate(_LEXICONS) if word in own]
 
 
+def readable(text: str) -> str:
+    """The text with blanks in place of its addresses, so that positions stay."""
+    return ADDRESS.sub(lambda m: " " * len(m[0]), text) if "://" in text or "www." in text.lower() else text
+
+
 @dataclass
 class Field:
     """Weights of features by language, and log transitions between the languages of neighbouring words."""
@@ -181,7 +188,7 @@ def train(texts: list[str], sequences: int = 1200, length: int = 80, epochs: int
     rng = np.random.default_rng(seed)
     paragraphs: list[list[list[str]]] = [[] for _ in range(N)]
     for text in texts:
-        for part in re.split(r"\n\s*\n", text):
+        for part in re.split(r"\n\s*\n", readable(text)):
             words = WORD.findall(part.lower())
             hits = np.array([sum(w in own for w in words) for own in _LEXICONS])
             best = int(hits.argmax())
@@ -260,6 +267,7 @@ class Labeller:
         """Shares of the languages in each text by characters (all 0 without words); parts as (start, end, language, confidence)."""
         if len(self.index) > CACHED_WORDS:
             self.reset()
+        texts = [readable(t) for t in texts]
         found = [WORD.findall(t) for t in texts]
         words_of = np.array([len(w) for w in found], np.int64)
         at = self._lookup([w for words in found for w in words])
@@ -350,15 +358,15 @@ def _label(shared: Any, parts: bool):
 
 def train_on(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> Field:
     """A field trained on ``sample`` documents, the first in the order of a hash of their ids."""
-    readable = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t") >= 200)
-    return train([r.t for r in hashed_sample(readable, ["i"], sample, df.count())])
+    long = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t") >= 200)
+    return train([r.t for r in hashed_sample(long, ["i"], sample, df.count())])
 
 
 def label_languages(df: DataFrame, id_col: str, text_col: str, field: Field, parts: bool = False) -> DataFrame:
     """``id, language, confidence`` (and ``parts``) of every row with an id.
 
     ``language`` is what most of the text's letters are in, ``confidence`` the probability-weighted share of them;
-    both are null for a text without letters (null, empty, blank, digits only). ``parts`` lists the runs of a text in
+    both are null for a text without letters (null, empty, blank, digits or addresses only). ``parts`` lists the runs of a text in
     several languages as start, end, language and confidence, and is empty for a text in one. Whole texts are read.
     Repeated rows come out as often as they go in; other columns are ignored, whatever their names.
     """

@@ -84,6 +84,14 @@ def test_stretches_of_a_text_know_each_other(monkeypatch):
     assert np.allclose(np.concatenate([got[: lengths[k], k] for k in range(3)]), whole, atol=1e-4)
 
 
+def test_addresses_are_in_no_language(field):
+    labeller = L.Labeller(field)
+    links = " https://the-school-report.example/about/the/house/and/the/road www.The-Council.example/with/you"
+    share, parts = labeller.label([TEXTS["pt"] + links * 20, links, TEXTS["en"] + links * 9 + " " + TEXTS["fr"]], True)
+    assert L.LANGUAGES[share[0].argmax()] == "pt" and share[0].max() > 0.8 and not share[1].any()
+    assert [L.LANGUAGES[k] for _, _, k, _ in parts[2]] == ["en", "fr"] and parts[2][1][0] >= len(TEXTS["en"]) + 9 * len(links)
+
+
 def test_named_languages(spark):
     cases = {"en": "en", " EN ": "en", "en-GB": "en", "en_US": "en", "eng": "en", "English": "en", "ger": "de", "deu": "de", "fre": "fr", "Portuguese": "pt", "da": "other", "sv": "other", "Danish": "other", "": None, "-": None, "n/a": None, "und": None, "xx": None, "unknown": None, "zxx": None, "mul?": None, None: None}
     df = spark.createDataFrame([(k,) for k in cases], "v string")
