@@ -93,7 +93,8 @@ def corrections(counts: DataFrame) -> DataFrame:
     # Every word with the differences of the confusions that it can hold.
     held = _rare(counts).select("word", "n", "hash", F.explode(F.filter(_confusions(), lambda c: F.contains(F.col("word"), c.read))).alias("c"))
     rare = held.select("word", "n", "c.no", "c.printed", "c.read", (F.col("hash") - F.col("c.difference")).alias("h"))
-    met = rare.join(_frequent(counts), "h").where(F.col("m") >= F.col("n") * RATIO)
+    # Catalyst doesn't see that the words are multiplied by their confusions, so it would broadcast them by the size of the words alone.
+    met = rare.hint("merge").join(_frequent(counts), "h").where(F.col("m") >= F.col("n") * RATIO)
     fits = materialize(met.where(F.array_contains(_misread(F.col("correct"), F.col("printed"), F.col("read")), F.col("word"))).select("word", "no", "correct", "m"), "fits")
     alone = fits.groupBy("word").agg(F.count("*").alias("k"), F.min("no").alias("no")).where("k = 1")
     support = alone.groupBy("no").agg(F.count("*").alias("support"))  # a row a confusion
@@ -106,7 +107,7 @@ def double_corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
     held = words.withColumn("hash", anagram_hash(F.col("word"))).withColumn("c", F.filter(_confusions(), lambda c: F.contains(F.col("word"), c.read)))
     one = held.select("word", "n", "hash", "c", F.explode("c").alias("x"))
     two = one.select("word", "n", "hash", "x", F.explode(F.filter("c", lambda c: c.no >= F.col("x.no"))).alias("y"))
-    met = two.withColumn("h", F.col("hash") - F.col("x.difference") - F.col("y.difference")).join(_frequent(counts), "h").where(F.col("m") >= F.col("n") * RATIO)
+    met = two.withColumn("h", F.col("hash") - F.col("x.difference") - F.col("y.difference")).hint("merge").join(_frequent(counts), "h").where(F.col("m") >= F.col("n") * RATIO)
     once = _misread(F.col("correct"), F.col("x.printed"), F.col("x.read"))
     again = F.flatten(F.transform(once, lambda w: _misread(w, F.col("y.printed"), F.col("y.read"))))
     return met.where(F.array_contains(again, F.col("word"))).groupBy("word").agg(F.max_by("correct", F.struct("m", "correct")).alias("correct"))

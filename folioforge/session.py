@@ -58,6 +58,8 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 _written: set[str] = set()
+#: Bytes of all strings in a table that is broadcast: rows alone don't bound what the driver holds.
+BROADCAST_BYTES = 16 << 20
 
 
 def release(spark: SparkSession, keep: Collection[str] = ()) -> None:
@@ -92,11 +94,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast when it has no more than ``rows`` rows; else leave the join to Catalyst.
+def broadcast_if_small(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when it has no more than ``rows`` rows and its strings no more than ``size`` bytes; else leave the join to Catalyst.
 
     Counts ``df``, so call it on a materialized table.
     """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    first = df.limit(rows + 1)
+    strings = [F.sum(F.octet_length(first[c])) for c, kind in first.dtypes if kind == "string"]
+    n, *sizes = first.agg(F.count(F.lit(1)), *strings).first()
+    return F.broadcast(df) if n <= rows and sum(x or 0 for x in sizes) <= size else df

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.llm import scans as S
+from folioforge.session import broadcast_if_small
 
 WORDS = "committee report archive budget follow decided meeting library market northern planning village window machine garden question member building session teacher".split()
 SCHEMA = "id string, document_id string, page bigint, text string"
@@ -88,3 +89,28 @@ def test_roman_and_misread_numbers(spark):
     cases = {"xiv": 14, "lvii": 57, "12": 12, "l2": 12, "1O": 10, "abc": None, "iiii": None}
     df = spark.createDataFrame([(k,) for k in cases], "v string")
     assert {r.v: r.n for r in df.select("v", S._value(F.col("v")).alias("n")).collect()} == cases
+
+
+def test_words_times_confusions_are_not_broadcast(spark, monkeypatch):
+    """The driver never holds every rare word with all of its confusions, however small the words' own table is."""
+    written = S.materialize
+    plans = []
+
+    def kept(df, name="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(S, "materialize", kept)
+    words = [("committee", 100), ("cornmittee", 1), ("cornmitfee", 1)] + [(f"w{i}ecoatfin", 1) for i in range(500)]
+    counts = written(spark.createDataFrame(words, "word string, n bigint"))
+    assert {(r.word, r.correct) for r in S.corrections(counts).collect()} == {("cornmittee", "committee")}
+    twice = S.double_corrections(counts.where("word = 'cornmitfee'"), counts)
+    plans.append(twice._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+    assert [(r.word, r.correct) for r in twice.collect()] == [("cornmitfee", "committee")]
+
+
+def test_long_strings_are_not_broadcast(spark):
+    df = spark.createDataFrame([("a" * 1000,), (None,)], "word string")
+    hinted = [broadcast_if_small(df, rows, size)._jdf.queryExecution().analyzed().toString() for rows, size in ((10, 1000), (10, 999), (1, 1000))]
+    assert ["ResolvedHint" in p for p in hinted] == [True, False, False]
