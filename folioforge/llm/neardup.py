@@ -10,12 +10,16 @@ compared by the exact sets.
 A family of near-copies may be as large as a third of all classes. Lists of more than LONG classes therefore don't
 merge: their members are compared with the list's leaders, and only what isn't similar to the first leader meets the
 others, by pairs of coordinates. Of each two similar classes, so, either the link comes out or those of both with one leader.
+
+With ``whole`` nothing is left out: every set is posted under the first of its shingles in one order for all sets, so
+many that two similar sets share at least AGREE of them; whatever shares so many is compared by the exact sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -33,6 +37,10 @@ ALL_PAIRS = 64
 LONG = 64
 #: Rows of a list that a task joins with all others of it.
 STRIPE = 4096
+#: Shingles of the posted ones that two similar sets share at least (fewer, if they are similar with fewer).
+AGREE = 3
+#: Buckets of the hashed counts of shingles, which bounds what is sent to the driver and back, and those of a row of them.
+BUCKETS, BUCKET_STRIPE = 1 << 24, 1 << 16
 #: Words whose hashes a worker keeps.
 CACHED_WORDS = 400_000
 #: Rows up to which a materialized list of keys is broadcast (at about 50 bytes a row).
@@ -89,32 +97,100 @@ def signatures(s: np.ndarray, starts: np.ndarray, coords: int, per_coord: int, s
     return out
 
 
+def _good_sets(batches: Iterator[pa.RecordBatch], words: int, min_words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows with enough words, all of their shingles, and where each one's begin and how many they are."""
+    known = _Words()
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 2000):
+            b = whole.slice(lo, 2000)
+            s, ends, counts = shingle_sets(b.column("t").to_pylist(), words, known)
+            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            good = (counts >= max(min_words, words)) & (ends > starts)
+            if not good.any():
+                continue
+            # Only rows with shingles have a part, so the parts of good rows follow each other within s.
+            keep = np.repeat(good, ends - starts)
+            s, size = s[keep], (ends - starts)[good]
+            yield b.filter(pa.array(good)), s, np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size
+        if len(known) > CACHED_WORDS:
+            known.clear()
+
+
+def _keys(s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each whole set."""
+    twist = (s ^ (s >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    k1 = np.add.reduceat(twist ^ (twist >> np.uint64(29)), starts).view(np.int64)
+    return k1, np.bitwise_xor.reduceat((s * np.uint64(0xC4CEB9FE1A85EC53)) ^ (s >> np.uint64(17)), starts).view(np.int64)
+
+
 def _sign(words: int, min_words: int, coords: int, per_coord: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
-                s, ends, counts = shingle_sets(b.column("t").to_pylist(), words, known)
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                good = (counts >= max(min_words, words)) & (ends > starts)
-                if not good.any():
-                    continue
-                # Only rows with shingles have a part, so the parts of good rows follow each other within s.
-                keep = np.repeat(good, ends - starts)
-                s, size = s[keep], (ends - starts)[good]
-                starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-                twist = (s ^ (s >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-                k1 = np.add.reduceat(twist ^ (twist >> np.uint64(29)), starts).view(np.int64)
-                k2 = np.bitwise_xor.reduceat((s * np.uint64(0xC4CEB9FE1A85EC53)) ^ (s >> np.uint64(17)), starts).view(np.int64)
-                sig = signatures(s, starts, coords, per_coord, seed)
-                b = b.filter(pa.array(good))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("owner"), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(np.arange(0, sig.size + 1, coords, dtype=np.int32), sig.view(np.int32).ravel())],
-                    ["id", "owner", "k1", "k2", "sig"],
-                )
-            if len(known) > CACHED_WORDS:
-                known.clear()
+        for b, s, starts, _ in _good_sets(batches, words, min_words):
+            k1, k2 = _keys(s, starts)
+            sig = signatures(s, starts, coords, per_coord, seed)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("owner"), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(np.arange(0, sig.size + 1, coords, dtype=np.int32), sig.view(np.int32).ravel())],
+                ["id", "owner", "k1", "k2", "sig"],
+            )
+
+    return run
+
+
+def _counted(words: int, min_words: int):
+    """Hashed counts of all shingles, by stripes of buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.uint32)
+        for _, s, _, _ in _good_sets(batches, words, min_words):
+            at, n = np.unique((s & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)
+            total[at] += n.astype(np.uint32)
+        parts = np.minimum(total, 65535).astype(np.uint16).reshape(-1, BUCKET_STRIPE)
+        for k in np.nonzero(parts.any(1))[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(parts[k].tobytes(), 1)], pa.binary())], ["stripe", "counts"])
+
+    return run
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    total = np.zeros(BUCKET_STRIPE, np.uint32)
+    for x in t.column("counts"):
+        total = np.minimum(total + np.frombuffer(zlib.decompress(x.as_py()), np.uint16), 65535)
+    return pa.table({"stripe": t.column("stripe")[:1], "counts": pa.array([total.astype(np.uint16).tobytes()], pa.binary())})
+
+
+def shingle_counts(src: DataFrame, words: int, min_words: int) -> np.ndarray:
+    """How often shingles occur, hashed into BUCKETS counts of two bytes, whatever their number.
+
+    They only decide the order of shingles, and so how long lists get: the same pairs come out in any order.
+    """
+    out = np.zeros(BUCKETS, np.uint16)
+    kind = "stripe bigint, counts binary"
+    for r in src.mapInArrow(_counted(words, min_words), kind).groupBy("stripe").applyInArrow(_summed, kind).toLocalIterator():
+        out[r.stripe * BUCKET_STRIPE : (r.stripe + 1) * BUCKET_STRIPE] = np.frombuffer(r.counts, np.uint16)
+    return out
+
+
+def _prefixes(words: int, min_words: int, min_similarity: float, shared):
+    """Keys of each set and its posted shingles: the least frequent |set| - (what a similar set must share) + AGREE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = shared.value
+        for b, s, starts, size in _good_sets(batches, words, min_words):
+            k1, k2 = _keys(s, starts)
+            # Each shingle turns one of 128 bits over.
+            bit = (s * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(57)
+            flip = np.uint64(1) << (bit & np.uint64(63))
+            low, high = (pa.array(np.bitwise_xor.reduceat(np.where(half, flip, np.uint64(0)), starts).view(np.int64)) for half in (bit < 64, bit >= 64))
+            token = s.view(np.int64)
+            rank = times[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+            row = np.repeat(np.arange(len(size)), size)
+            token = token[np.lexsort((token, rank, row))]
+            least = np.clip(np.ceil(min_similarity * size - 1e-9), 1, None).astype(np.int64)
+            agree = np.minimum(AGREE, least)
+            posted = size - least + agree
+            token = token[np.arange(len(token)) - np.repeat(starts, size) < np.repeat(posted, size)]
+            ends = np.concatenate([[0], np.cumsum(posted)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("owner"), pa.array(k1), pa.array(k2), pa.array(size.astype(np.int32)), low, high, pa.ListArray.from_arrays(ends, token)], ["id", "owner", "k1", "k2", "size", "low", "high", "posted"])
 
     return run
 
@@ -196,14 +272,18 @@ class NearDuplicates:
 
     members: DataFrame
     links: DataFrame
+    whole: bool = False
 
     def pairs(self, other_owner: bool) -> DataFrame:
         """``id_a < id_b`` for records of one class or of linked classes.
 
         The members of a class of more than ALL_PAIRS pair only with its first one, so that copies never make all
         pairs; its membership still holds every link. With ``other_owner`` those of the first one's owner pair with
-        the first member of another owner instead: whoever has a partner comes out.
+        the first member of another owner instead: whoever has a partner comes out. If the links are ``whole``, so
+        are the pairs: all of a class and of linked ones, however large.
         """
+        if self.whole:
+            return self._all_pairs(other_owner)
         size = self.members.groupBy("class_id").agg(F.count("*").alias("n"))
         sized = materialize(self.members.join(size, "class_id"), "sized")
         large = sized.where(F.col("n") > ALL_PAIRS)
@@ -226,6 +306,19 @@ class NearDuplicates:
             found = found.where("owner_a <> owner_b and (only is null or owner_a = only)")
         return found.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
+    def _all_pairs(self, other_owner: bool) -> DataFrame:
+        # A member has one class and a link comes once, so no pair comes twice. Large classes are cut into stripes.
+        size = self.members.groupBy("class_id").agg(F.count("*").alias("n"))
+        size = materialize(size.select("class_id", "n", F.ceil(F.col("n") / STRIPE).cast("int").alias("stripes")), "sizes")
+        linked = self.links.select("class_a", "class_b").union(size.where("n > 1").select("class_id", "class_id"))
+        stripes = size.select(F.col("class_id").alias("class_a"), F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("stripe"))
+        left = self.members.join(size, "class_id").select(F.col("class_id").alias("class_a"), F.pmod(F.xxhash64("id"), "stripes").cast("int").alias("stripe"), F.col("id").alias("a"), F.col("owner").alias("owner_a"))
+        right = self.members.select(F.col("class_id").alias("class_b"), F.col("id").alias("b"), F.col("owner").alias("owner_b"))
+        found = linked.join(stripes, "class_a").join(right, "class_b").join(left, ["class_a", "stripe"]).where("class_a <> class_b or a < b")
+        if other_owner:
+            found = found.where("owner_a <> owner_b")
+        return found.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+
     def groups(self) -> DataFrame:
         """``id, class_id, group_id, n_links``: connected components of the links; n_links counts linked classes."""
         label = components(self.links.select("class_a", "class_b"))
@@ -277,7 +370,10 @@ class _Verifier:
         probed = broadcast_if_small(materialize(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "probed"), BROADCAST_ROWS)
         sigs = self.sigs.join(probed, "rid")
         joined = pairs.join(sigs.select(F.col("rid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rid").alias("b"), F.col("sig").alias("sb")), "b")
-        kept = materialize(joined.where(matching("sa", "sb") >= self.matches).select("a", "b"), "kept")
+        return self.similar(materialize(joined.where(matching("sa", "sb") >= self.matches).select("a", "b"), "kept"))
+
+    def similar(self, kept: DataFrame) -> DataFrame:
+        """The same, of materialized pairs and by their exact sets alone."""
         # Exact sets of the classes in any pair, from one member's text each.
         wanted = kept.select(F.col("a").alias("rid")).union(kept.select("b")).distinct().join(self.base.select("rid", "id"), "rid")
         wanted = broadcast_if_small(materialize(wanted.select("rid", F.col("id").alias("wanted_id")), "wanted"), BROADCAST_ROWS)
@@ -333,8 +429,36 @@ def _unled(shared: DataFrame, met: DataFrame, found: DataFrame, owners: DataFram
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
+def _classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a number, ``rid``; and the same with that of their class's first row, ``cid``."""
+    base = materialize(signed.withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    classes = materialize(base.groupBy("k1", "k2").agg(F.min("rid").alias("first_rid"), F.count("*").alias("n")).where("n > 1"), "classes")
+    return base, base.join(broadcast_if_small(classes, BROADCAST_ROWS), ["k1", "k2"], "left").withColumn("cid", F.coalesce("first_rid", "rid"))
+
+
+def _members(marked: DataFrame) -> DataFrame:
+    return materialize(marked.groupBy("id").agg(F.min_by("owner", "cid").alias("owner"), F.min("cid").alias("class_id")), "members")
+
+
+def _agreeing(reps: DataFrame, min_similarity: float) -> DataFrame:
+    """Distinct pairs ``a < b`` of classes (rid, size, low, high, posted) that share as many posted shingles as one of them needs.
+
+    A shared one counts unless too few shingles follow it in either set, or the bits of the two sets differ in more
+    places than similar sets can have different shingles; neither loses a similar pair.
+    """
+    rows = reps.select("rid", "size", "low", "high", F.posexplode("posted").alias("pos", "token"))
+    x, y = (rows.select("token", *[F.col(c).alias(c + side) for c in ("rid", "size", "low", "high", "pos")]) for side in ("_x", "_y"))
+    common = F.ceil(min_similarity / (1 + min_similarity) * (F.col("size_x") + F.col("size_y")) - 1e-9)
+    enough = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y")) - 1 + AGREE >= common
+    alike = F.bit_count(F.col("low_x").bitwiseXOR(F.col("low_y"))) + F.bit_count(F.col("high_x").bitwiseXOR(F.col("high_y"))) <= F.col("size_x") + F.col("size_y") - 2 * common
+    met = x.join(y, "token").where((F.col("rid_x") < F.col("rid_y")) & enough & alike)
+    needed = F.least(F.lit(AGREE), F.greatest(F.lit(1), F.ceil(min_similarity * F.least("size_x", "size_y") - 1e-9)))
+    shared = met.groupBy(F.col("rid_x").alias("a"), F.col("rid_y").alias("b")).agg(F.count("*").alias("m"), F.min(needed).alias("needed"))
+    return shared.where("m >= needed").select("a", "b")
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, owner_col: str | None = None, words: int = 5, min_similarity: float = 0.8, min_words: int = 0, coords: int = 40, per_coord: int = 3, matches: int = 2, seed: int = 11
+    df: DataFrame, id_col: str, text_col: str, owner_col: str | None = None, words: int = 5, min_similarity: float = 0.8, min_words: int = 0, coords: int = 40, per_coord: int = 3, matches: int = 2, seed: int = 11, whole: bool = False
 ) -> NearDuplicates:
     """Classes of equal shingle sets, and links between classes with a Jaccard similarity of ``min_similarity`` or more.
 
@@ -343,13 +467,19 @@ def near_duplicates(
     id count once (the class of the least one, should texts differ). Whole texts are read. An empty table gives empty
     results; other columns are ignored, whatever their names. ``owner`` is null without ``owner_col``. In families of
     more than LONG classes, links run to leaders (see above), so that they grow with the family, not with its square.
+    With ``whole`` every link comes out, and pairs() has every pair, as many as there are; ``coords``, ``per_coord``,
+    ``matches`` and ``seed`` don't matter then.
     """
     owner = F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")
     src = df.select(F.col(id_col).cast("string").alias("id"), owner.alias("owner"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
+    if whole:
+        counts = df.sparkSession.sparkContext.broadcast(shingle_counts(src, words, min_words))
+        signed = src.mapInArrow(_prefixes(words, min_words, min_similarity, counts), "id string, owner string, k1 bigint, k2 bigint, size int, low bigint, high bigint, posted array<bigint>")
+        base, marked = _classes(signed)
+        links = _Verifier(src, base, base, words, min_similarity, 0).similar(materialize(_agreeing(marked.where("cid = rid").select("rid", "size", "low", "high", "posted"), min_similarity), "candidates"))
+        return NearDuplicates(_members(marked), links, True)
     signed = src.mapInArrow(_sign(words, min_words, coords, per_coord, seed), "id string, owner string, k1 bigint, k2 bigint, sig array<int>")
-    base = materialize(signed.withColumn("rid", F.monotonically_increasing_id()), "signatures")
-    classes = materialize(base.groupBy("k1", "k2").agg(F.min("rid").alias("first_rid"), F.count("*").alias("n")).where("n > 1"), "classes")
-    marked = base.join(broadcast_if_small(classes, BROADCAST_ROWS), ["k1", "k2"], "left").withColumn("cid", F.coalesce("first_rid", "rid"))
+    base, marked = _classes(signed)
     reps = marked.where("cid = rid").select("rid", "sig", "owner")
     shared = materialize(shared_postings(reps.select("rid", "sig"), coords), "shared")
     # Prefix: all but the most frequent matches - 1 of what a class shares.
@@ -368,5 +498,4 @@ def near_duplicates(
         led = met.select(F.array("rid", "first", "second").alias("x"), "rid").select("rid", F.explode(F.slice("x", 2, 2)).alias("leader")).where("rid <> leader")
         found = verify.links(merged.union(led.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct()).distinct())
         links = found.union(verify.links(_unled(shared, met, found, reps.select("rid", "owner"), matches))).distinct()
-    members = marked.groupBy("id").agg(F.min_by("owner", "cid").alias("owner"), F.min("cid").alias("class_id"))
-    return NearDuplicates(materialize(members, "members"), links)
+    return NearDuplicates(_members(marked), links)

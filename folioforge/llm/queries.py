@@ -34,7 +34,7 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicate_chunks(spark: SparkSession, sf_dir: str) -> NearDuplicates:
-    return near_duplicates(table(spark, sf_dir, "document_chunks"), "id", "chunk_text", "document_id", words=3, min_similarity=0.5, min_words=20)
+    return near_duplicates(table(spark, sf_dir, "document_chunks"), "id", "chunk_text", "document_id", words=3, min_similarity=0.5, min_words=20, whole=True)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

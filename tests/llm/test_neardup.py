@@ -200,3 +200,30 @@ def test_stripes_of_a_long_list_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(N, "STRIPE", 7)
     monkeypatch.setattr(N, "BROADCAST_ROWS", 0)  # the way without broadcasts, too
     assert pairs(df, words=3, min_similarity=0.5) == whole
+
+
+@pytest.mark.parametrize("stripe", [N.STRIPE, 7])
+def test_whole_lists_leave_no_pair_out(spark, monkeypatch, stripe):
+    """Families, large classes of copies, pairs at the threshold and sets of few shingles: all pairs and all links."""
+    monkeypatch.setattr(N, "STRIPE", stripe)
+    rng = random.Random(6)
+    rows = family(N.LONG + 40, 110, 7)
+    rows += [(f"c{i:03}", f"o{i % 9}", " ".join(f"y{k}" for k in range(30))) for i in range(N.ALL_PAIRS + 10)]
+    for i in range(60):
+        words = [f"p{rng.randrange(10**7)}" for _ in range(62)]
+        # 60 shingles each, of which 40 are shared: exactly a half of the union.
+        rows += [(f"p{i}-a", "a", " ".join(words)), (f"p{i}-b", "b", " ".join(words[:42] + [f"q{rng.randrange(10**7)}" for _ in range(20)]))]
+    rows += [("r1", "a", "la " * 25), ("r2", "b", "la " * 30 + "li"), ("r3", "c", "la li " * 12), ("r4", "d", "li la " * 15 + "lo")]
+    found = N.near_duplicates(spark.createDataFrame(rows, SCHEMA), "id", "t", "owner", words=3, min_similarity=0.5, min_words=20, whole=True)
+    got = [(r.id_a, r.id_b) for r in found.pairs(True).collect()]
+    want = brute(rows, 3, 0.5, 20)
+    assert len(got) == len(set(got)) and set(got) == want and ("r1", "r2") in want and sum(a[0] == "p" for a, _ in want) == 60
+    links = {r.id: r.n_links for r in found.groups().collect()}
+    sets = {i: frozenset(shingles(t, 3)) for i, _, t in rows}
+    kinds = set(sets.values())
+    assert all(links[i] == sum(x != y and 2 * len(x & y) >= len(x | y) for y in kinds) for i, x in sets.items())
+
+
+def test_whole_lists_of_nothing(spark):
+    empty = N.near_duplicates(spark.createDataFrame([], SCHEMA), "id", "t", whole=True)
+    assert empty.pairs(False).count() == 0 and empty.groups().count() == 0 and empty.members.count() == 0
